@@ -22,18 +22,14 @@ def utf8_size(text: Column | str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def place(sizes: np.ndarray, n_shards: int, turn: int = 0) -> np.ndarray:
-    """Shard of each row of ``sizes`` (groups x resources): large groups first, each to the highest dot product of the
-    group with the residual capacity; ties go round from ``turn``. Capacity is an equal share of each resource."""
-    total = sizes.sum(axis=0)
-    share = sizes / np.where(total > 0, total, 1.0)
-    left = np.full((n_shards, sizes.shape[1]), 1.0 / n_shards)
-    rank = (np.arange(n_shards) - turn) % n_shards
-    by_rank = np.argsort(rank)
+def place(sizes: np.ndarray, left: np.ndarray, turn: int = 0) -> np.ndarray:
+    """Shard of each row of ``sizes`` (groups x resources, in the unit of ``left``, the shards' residual capacities, which
+    is updated): large groups first, each to the highest dot product of group and residual; ties go round from ``turn``."""
+    by_rank = (np.arange(len(left)) + turn) % len(left)
     out = np.empty(len(sizes), np.int64)
-    for i in np.argsort(-share.max(axis=1), kind="stable"):
-        s = by_rank[int(np.argmax((left @ share[i])[by_rank]))]
-        left[s] -= share[i]
+    for i in np.argsort(-sizes.max(axis=1), kind="stable") if len(sizes) else ():
+        s = by_rank[int(np.argmax((left @ sizes[i])[by_rank]))]
+        left[s] -= sizes[i]
         out[i] = s
     return out
 
@@ -41,10 +37,10 @@ def place(sizes: np.ndarray, n_shards: int, turn: int = 0) -> np.ndarray:
 def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, shard, slot) for every row of ``docs``.
 
-    Rows are slimmed to (key, sizes, fingerprint) before any shuffle. Groups are hashed to buckets of about
-    ``bucket_rows`` rows; each bucket balances itself over all shards, so the sum stays balanced at any size, and one
-    task holds one bucket. Groups over 1/16 of a bucket's expected rows or bytes are split into parts of that size:
-    there are fewer than 32 of those for each bucket, so the list of them is small against the rows.
+    Rows are slimmed to (key, sizes, fingerprint) before any shuffle. Groups over 1/64 of a shard's share are fewer than
+    128 times the shards at any input size: those are placed first, on the driver, by their sums; of them, groups over
+    half a shard's share are dealt out in parts. All others are hashed to buckets of about ``bucket_rows`` rows,
+    which are packed independently against the capacity that the large groups leave; one task holds one bucket.
     Nulls: a null text has size 8 and the checksum of no bytes and shares a group with the empty text; null keys are
     placed as any row. Repeated rows are placed separately. An empty table gives no rows. Extra columns are ignored.
     """
@@ -59,21 +55,33 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192,
     if not n:
         return spark.createDataFrame([], T.StructType([docs.schema[key], *(T.StructField(c, t) for c, t in (("size", T.LongType()), ("text_crc32", T.LongType()), ("shard", T.IntegerType()), ("slot", T.LongType())))]))
     buckets = max(1, math.ceil(n / bucket_rows))
-    most_rows, most_bytes = max(1, n // buckets // 16), max(1, total // buckets // 16)
-    groups = slim.groupBy("g1", "g2").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-    large = groups.where((F.col("rows") > 1) & ((F.col("rows") > most_rows) | (F.col("bytes") > most_bytes))).select(
-        "g1", "g2", F.greatest(F.ceil(F.col("rows") / most_rows), F.ceil(F.col("bytes") / most_bytes)).cast("int").alias("parts")
-    )
-    # Few groups are large (see above); Spark broadcasts them if they are below its threshold and splits skewed joins otherwise.
-    parted = slim.join(large, ["g1", "g2"], "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int"))
-    parted = parted.withColumn("bucket", F.pmod(F.xxhash64("g1", "g2", "part"), F.lit(buckets)).cast("int"))
+    groups = slim.groupBy("g1", "g2").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"))
+    fine = 64 * n_shards
+    large = groups.where((F.col("rows") * fine > n) | (F.col("bytes") * fine > total)).orderBy("g1", "g2").collect()  # fewer than 2 * fine rows
+    all_tokens = slim.agg(F.sum("tokens")).first()[0]
+    parts = [(r.g1, r.g2, min(r.rows, math.ceil(2 * n_shards * max(r.rows / n, r.bytes / total)))) for r in large]
+    sized = spark.createDataFrame(parts, "g1 long, g2 long, parts int")
+    parted = slim.join(F.broadcast(sized), ["g1", "g2"], "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int"))
+    units = parted.where(F.col("parts").isNotNull()).groupBy("g1", "g2", "part").agg(F.sum("size"), F.sum("tokens"), F.count("*")).orderBy("g1", "g2", "part").collect()
+    capacity = np.full((n_shards, 3), 1.0 / n_shards)
+    fixed = place(np.array([u[3:] for u in units], float).reshape(-1, 3) / [max(total, 1), max(all_tokens, 1), n], capacity).tolist()
+    preset = spark.createDataFrame([(*u[:3], s) for u, s in zip(units, fixed, strict=True)], "g1 long, g2 long, part int, preset int")
+    capacity = np.maximum(capacity, 0) + 1e-12
+    capacity /= capacity.sum(axis=0)
+    parted = parted.join(F.broadcast(preset), ["g1", "g2", "part"], "left").drop("parts", "part")
+    spread = F.when(F.col("preset").isNull(), F.xxhash64("g1", "g2")).otherwise(F.xxhash64("k", F.lit(5)))
+    parted = parted.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
 
     kind = docs.schema[key].dataType.simpleString()
 
     def pack(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        code, first = pd.factorize(pd.MultiIndex.from_arrays([rows["g1"], rows["g2"], rows["part"]]), sort=True)
-        sizes = np.stack([np.bincount(code, w, len(first)) for w in (rows["size"], rows["tokens"], np.ones(len(rows)))], axis=1).astype(float)
-        shard = place(sizes, n_shards, int(ids[0]))[code]
+        shard = rows["preset"].fillna(-1).to_numpy(np.int64).copy()
+        free = np.flatnonzero(shard < 0)
+        if len(free):
+            own = rows.iloc[free]
+            code, first = pd.factorize(pd.MultiIndex.from_arrays([own["g1"], own["g2"]]), sort=True)
+            sizes = np.stack([np.bincount(code, w, len(first)) for w in (own["size"], own["tokens"], np.ones(len(own)))], axis=1).astype(float)
+            shard[free] = place(sizes / sizes.sum(axis=0), capacity.copy(), int(ids[0]) * 7)[code]
         rows = rows.assign(shard=shard.astype(np.int32)).sort_values(["shard", "k", "crc", "size"], kind="stable")
         return rows.assign(nth=rows.groupby("shard").cumcount())[["k", "size", "crc", "bucket", "shard", "nth"]]
 
