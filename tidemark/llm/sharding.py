@@ -26,9 +26,10 @@ def place(sizes: np.ndarray, left: np.ndarray, turn: int = 0) -> np.ndarray:
     """Shard of each row of ``sizes`` (groups x resources, in the unit of ``left``, the shards' residual capacities, which
     is updated): large groups first, each to the highest dot product of group and residual; ties go round from ``turn``."""
     by_rank = (np.arange(len(left)) + turn) % len(left)
+    weight = np.array([8.0, 1.0, 1.0])  # where resources conflict, bytes decide: theirs is the law that holds
     out = np.empty(len(sizes), np.int64)
     for i in np.argsort(-sizes.max(axis=1), kind="stable") if len(sizes) else ():
-        s = by_rank[int(np.argmax((left @ sizes[i])[by_rank]))]
+        s = by_rank[int(np.argmax((left @ (sizes[i] * weight))[by_rank]))]
         left[s] -= sizes[i]
         out[i] = s
     return out
