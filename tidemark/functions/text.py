@@ -103,9 +103,11 @@ def normalize_text(text: str | None) -> str:
     return " ".join(re.findall(r"\w+", t))
 
 
-@F.pandas_udf("string")
-def normalize(x: pd.Series) -> pd.Series:
-    return x.map(normalize_text)
+def normalize(text: Column) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(normalize_text)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def simhash_bits(words: list[str]) -> int | None:
@@ -121,9 +123,11 @@ def simhash_bits(words: list[str]) -> int | None:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-@F.pandas_udf("long")
-def simhash(x: pd.Series) -> pd.Series:
-    return x.map(simhash_bits).astype("Int64")
+def simhash(words: Column) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(simhash_bits).astype("Int64")
+
+    return F.pandas_udf(run, "long")(words)
 
 
 def hamming(a: Column, b: Column) -> Column:
