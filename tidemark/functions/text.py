@@ -51,7 +51,7 @@ def match_score(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Col
 
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no ``www.``, fragment, trailing slash or tracking keys; query keys sorted. Null if it isn't http(s)."""
-    host = F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", ""))
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
     path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", "")
     pairs = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
     query = F.array_join(F.array_sort(pairs), "&")
