@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import materialize
+
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Most line hashes and hosts (8 bytes each, and names) that are broadcast.
+BROADCAST_LINES = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -60,8 +64,10 @@ def frequent_lines(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20,
 
 
 def _judged(docs: DataFrame, bad: DataFrame, min_left: float, text: str, host: str) -> DataFrame:
-    bad = bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
-    out = docs.join(bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
+    # The lists are broadcast once they are known to be small; beyond that Spark chooses the join and splits skewed hosts.
+    bad = materialize(bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad")), "frequent-lines")
+    small = (bad.agg(F.sum(F.size("_bad") + 1)).first()[0] or 0) <= BROADCAST_LINES
+    out = docs.join(F.broadcast(bad) if small else bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
     hit = F.col("_bad").isNotNull()
     kept = F.filter(lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("_bad", line_key(x)), F.lit(False)))
     return out.withColumn("_left", F.when(hit & F.col(text).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)))
