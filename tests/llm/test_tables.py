@@ -318,15 +318,24 @@ def test_near_classes_of_hot_groups(spark, monkeypatch):
     assert got == brute_classes(src)
 
 
-def test_signatures_of_linked_sets_meet():
+@pytest.mark.parametrize("common", [1, 60, 151])
+def test_signatures_of_linked_sets_meet(common):
+    """Linked sets share a key, on both sides of the size up to which combinations are used; and where they share a
+    token's place, the room that it leaves is no less than their overlap."""
     rng = np.random.default_rng(9)
-    hot = np.sort(rng.choice(400, 150, replace=False).astype(np.uint64))
-    for _ in range(400):
-        a = np.sort(rng.choice(400, int(rng.integers(2, 60)), replace=False).astype(np.uint64))
-        b = np.unique(np.concatenate([rng.choice(a, len(a) - int(rng.integers(0, len(a) // 7 + 1)), replace=False), rng.choice(400, int(rng.integers(0, 4))).astype(np.uint64)]))
+    order = jaccard_join.Order(np.sort(rng.choice(1200, 150, replace=False).astype(np.uint64)), rng.permutation(150) + 1, common)
+    linked = 0
+    for _ in range(600):
+        a = np.sort(rng.choice(1200, int(rng.integers(2, 60) if rng.random() < 0.6 else rng.integers(120, 240)), replace=False).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, len(a) - int(rng.integers(0, len(a) // 7 + 1)), replace=False), rng.choice(1200, int(rng.integers(0, 4))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 75 * (len(a) + len(b) - both) and len(b) > 1 and not np.array_equal(a, b):
-            assert any(len(np.intersect1d(x, y)) for x, y in zip(jaccard_join.signatures(a, hot, 75), jaccard_join.signatures(b, hot, 75), strict=True))
+            linked += 1
+            (x, _, p), (y, _, q) = jaccard_join.signatures(a, order, 75), jaccard_join.signatures(b, order, 75)
+            assert len(np.intersect1d(x, y)) or len(np.intersect1d(p, q))
+            _, i, j = np.intersect1d(x, y, return_indices=True)
+            assert (np.minimum(i, j) + np.minimum(len(a) - i, len(b) - j) >= both).all()
+    assert linked > 300
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------
