@@ -138,6 +138,12 @@ def test_frequent_lines(spark, none):
     assert line_frequency.judge_documents(none).count() == 0 and line_frequency.clean_documents(none).count() == 0
 
 
+def test_cleaned_documents_are_those_kept(docs):
+    kept = {r.doc_id for r in line_frequency.judge_documents(docs).where("kept").select("doc_id").collect()}
+    got = line_frequency.clean_documents(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(kept)
+
+
 # 4, 8 ------------------------------------------------------------------------------------------------------------
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

@@ -101,4 +101,5 @@ def clean_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20
     out = with_repeat_words(out.withColumn("_w", words(F.coalesce(F.col(text), F.lit("")))), "_w", "_rep")
     n = F.size("_w")
     good = (n >= 50) & (100 * F.col("_rep") <= 50 * n) & (F.size(words(F.coalesce("_left", F.lit("")))) >= min_left * n)
-    return out.where(good).select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in docs.columns])
+    # As a generated column the verdict stays where it is: a filter that moves below would put whole word lists into lambdas.
+    return out.withColumn("_good", F.explode(F.array(good))).where("_good").select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in docs.columns])
