@@ -42,7 +42,8 @@ def with_repeat_words(df: DataFrame, w: str, out: str, n: int = 3) -> DataFrame:
     same = F.filter("_g", lambda x, k: F.coalesce(x["g"] == F.get("_g", k - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get("_g", k + 1)["g"], F.lit(False)))
     starts = F.sort_array(F.transform(same, lambda x: x["i"]))
     fold = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(n), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return df.withColumn(out, fold.cast("long")).drop("_h", "_g")
+    # A generated column: no filter on it moves below and puts the lists into lambdas.
+    return df.withColumn(out, F.explode(F.array(fold.cast("long")))).drop("_h", "_g")
 
 
 def dup_lines(text: Column) -> Column:
