@@ -5,11 +5,16 @@ are trades (purchase buys, click sells); documents are posts and ``source`` is t
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import consensus as C
 from tidemark.operators import relational as R
+from tidemark.shared import new_folder
+from tidemark.streaming import capture as S
 
 FLAGSHIP = "family_lane"
 QUERIES: dict = {}
@@ -219,3 +224,32 @@ def launch_coverage(spark, d):
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
 def cube_totals(spark, d):
     return t(spark, d, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"""WITH {TRADES}, able AS (SELECT wallet FROM trades WHERE side = 'buy' GROUP BY 1 HAVING min(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+each AS (SELECT token, wallet, sum(usd) AS usd FROM trades SEMI JOIN able USING (wallet) WHERE side = 'buy' GROUP BY 1, 2),
+flow AS (SELECT token, count(*) AS wallets, count(CASE WHEN wallet % 5 > 0 THEN 1 END) AS verified, count(DISTINCT CASE WHEN wallet % 5 > 0 THEN wallet % 7 END) AS roots, max(usd) / nullif(sum(usd), 0) AS top FROM each GROUP BY 1),
+cand AS (SELECT token, max(usd) / nullif(min(usd), 0) AS move FROM trades GROUP BY 1), f AS (SELECT token, coalesce(wallets, 0) AS wallets, coalesce(verified, 0) AS verified, coalesce(roots, 0) AS roots, top, move FROM cand LEFT JOIN flow USING (token))
+SELECT token, wallets, roots, CASE WHEN wallets < 3 THEN 'NO_CONSENSUS' WHEN roots < 3 OR verified < 3 THEN 'CONSENSUS_INDEPENDENCE_UNVERIFIED' WHEN top IS NULL OR top > 0.5 THEN 'CONSENSUS_CONCENTRATED' WHEN move IS NULL OR move > 3.0 THEN 'MOVE_CONSUMED_OR_UNKNOWN' WHEN token % 2 = 1 THEN 'CONSENSUS_PENDING_EXECUTION' ELSE 'PAPER_PROBE_CANDIDATE' END AS signal_state FROM f""")
+def consensus_signals(spark, d):
+    x = trades(spark, d).withColumn("network", F.lit("n")).withColumnRenamed("token", "token_id")
+    buys = x.where(F.col("side") == "buy")
+    as_of = t(spark, d, "events").agg(F.max("ts")).first()[0] - timedelta(days=1)
+    able = buys.groupBy("network", "wallet").agg(F.min("ts").alias("qualified_at")).withColumn("state", F.lit("QUALIFIED"))
+    known = buys.select("network", "wallet", (F.col("wallet") % 7).alias("funding_root"), F.when(F.col("wallet") % 5 > 0, "INDEPENDENT_VERIFIED").otherwise("UNKNOWN").alias("provenance_state"))
+    cands = x.groupBy("network", "token_id").agg(F.max("usd").alias("price"), F.min("usd").alias("first_price")).withColumn("route_state", F.when(F.col("token_id") % 2 == 0, "ROUTED_QUOTE_PASS")).withColumn("contract_state", F.lit("PROXY_PASS"))
+    return C.consensus_signals(cands, buys, able, known, as_of).select(F.col("token_id").alias("token"), "wallets", "roots", "signal_state")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    out = new_folder(spark, "windows")
+    S.window_counts(S.file_events(spark, f"{d}/events*.parquet", t(spark, d, "events").schema, "ts"), "ts", ["event_type"], "1 hour", new_folder(spark, "offsets"), out)
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_capture(spark, d):
+    out = new_folder(spark, "captured")
+    S.capture(S.unique_events(S.file_events(spark, f"{d}/events*.parquet", t(spark, d, "events").schema, "ts"), ["event_id"], "ts"), new_folder(spark, "offsets"), out)
+    return spark.read.parquet(out).select("event_id", "event_type", "value")
