@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,10 +36,11 @@ def matched_buckets(text: Column, links: Column | None = None, patterns: dict[st
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def tokens(text: Column, most: int = 24, least: int = 3) -> Column:
-    """First distinct lower-case ASCII words of ``least`` characters that are no stop words."""
+def tokens(text: Column, most: int | None = 24, least: int = 3) -> Column:
+    """First ``most`` (None: all) distinct lower-case ASCII words of ``least`` characters that are no stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[a-z0-9]{{{least},}}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(STOP))), 1, most)
+    own = F.array_distinct(F.filter(found, lambda w: ~w.isin(STOP)))
+    return own if most is None else F.slice(own, 1, most)
 
 
 def match_score(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Column:
@@ -114,18 +116,14 @@ def simhash_bits(words: list[str]) -> int | None:
     """64-bit SimHash over 8-byte BLAKE2b of each word, as a signed integer; a tie sets the bit; no words give none."""
     if not len(words):
         return None
-    votes = [0] * 64
-    for w in words:
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        for i in range(64):
-            votes[i] += 1 if h >> (63 - i) & 1 else -1
-    bits = int("".join("1" if v >= 0 else "0" for v in votes), 2)
-    return bits - (1 << 64) if bits >> 63 else bits
+    digests = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words), np.uint8)
+    ones = np.unpackbits(digests.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= len(words)).tobytes(), "big", signed=True)
 
 
 def simhash(words: Column) -> Column:
     def run(x: pd.Series) -> pd.Series:
-        return x.map(simhash_bits).astype("Int64")
+        return pd.Series(pd.array([simhash_bits(w) for w in x], "Int64"))  # map() would round to doubles beside a null
 
     return F.pandas_udf(run, "long")(words)
 

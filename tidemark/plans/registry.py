@@ -205,13 +205,7 @@ def canonical_urls(spark, d):
 
 @query()
 def simhash_near(spark, d):
-    """Pairs within three bits by four 16-bit bands: by the pigeonhole principle none is missed."""
-    fp = t(spark, d, "documents").select("doc_id", X.simhash(X.tokens(F.col("text"))).alias("fp")).where(F.col("fp").isNotNull())
-    least = fp.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))  # equal fingerprints meet once
-    b = least.select("doc_id", "fp", F.posexplode(X.bands(F.col("fp"))).alias("at", "band"))
-    x, y = b.alias("x"), b.alias("y")
-    near = x.join(y, ["at", "band"]).where((F.col("x.doc_id") < F.col("y.doc_id")) & (X.hamming(F.col("x.fp"), F.col("y.fp")) <= 3))
-    return near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return R.near_fingerprints(t(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
