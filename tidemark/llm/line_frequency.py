@@ -16,6 +16,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Most line hashes and hosts (8 bytes each, and names) that are broadcast.
 BROADCAST_LINES = 1_000_000
+#: Bounds of ``line_limit``.
+LEAST_DOCS, SMALL_SHARE, MAX_DOCS = 2, 0.05, 100
 
 
 def words(text: Column) -> Column:
@@ -52,15 +54,20 @@ def dup_lines(text: Column) -> Column:
     return (F.size(own) - F.size(F.array_distinct(own))).cast("long")
 
 
+def line_limit(texts: Column, max_share: float, min_docs: int) -> Column:
+    """Most distinct texts of a host with ``texts`` that may carry a line: ``max_share`` of them, ``min_docs`` at least;
+    but SMALL_SHARE, which hosts of few texts can reach, and MAX_DOCS, however large the host, bound it. LEAST_DOCS texts are never too many."""
+    return F.greatest(F.lit(LEAST_DOCS), F.least(F.greatest(texts * max_share, F.lit(min_docs)), texts * SMALL_SHARE, F.lit(MAX_DOCS)))
+
+
 def frequent_lines(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, host: str = "source", text: str = "text") -> DataFrame:
-    """(host, bad): hashes of the lines that more than ``max_share`` of the host's distinct texts, and more than
-    ``min_docs`` of them, contain. A host has at most (lines per text) / ``max_share`` of them."""
+    """(host, bad): hashes of the lines that more than ``line_limit`` of the host's distinct texts contain."""
     each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
     totals = each.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     keys = F.array_distinct(F.transform(F.filter(lines(F.col("x")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_key))
     # distinct() first merges copies within each task; the second count then merges (host, line) before its shuffle.
-    freq = each.select("host", "t", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull()).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    bad = freq.join(totals, "host").where(F.col("n") > F.col("texts") * max_share)
+    freq = each.select("host", "t", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull()).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
+    bad = freq.join(totals, "host").where(F.col("n") > line_limit(F.col("texts"), max_share, min_docs))
     return bad.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("bad"))
 
 
