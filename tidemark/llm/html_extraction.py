@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets its link-adjusted characters per tag; a node's density sum is that of its children. The subtree of the
-maximum sum is the article; the lowest density on the path from the body to it is the threshold at which further
-subtrees beside that path belong to it too.
+maximum sum is the article, and so is all of an <article> element around it; the lowest density on the path from the body
+to it is the threshold at which further subtrees beside that path belong to it too. An <article> there belongs to it whole
+if it or an element in it reaches the threshold.
 """
 
 from __future__ import annotations
@@ -139,6 +140,23 @@ def _path(node: Node) -> list[str]:
     return [x.tag for x in _up(node)]
 
 
+def _inner(node: Node) -> list[Node]:
+    """Elements in the node that aren't aside, last first."""
+    return [k for k in reversed(node.kids) if isinstance(k, Node) and not k.aside]
+
+
+def _below(node: Node) -> Iterator[Node]:
+    stack = _inner(node)
+    while stack:
+        x = stack.pop()
+        yield x
+        stack.extend(_inner(x))
+
+
+def dense(node: Node, threshold: float) -> bool:
+    return node.tag in BLOCK and node.density >= max(threshold, 1e-9)
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in counts and densities of all nodes that aren't aside; returns them, parents first."""
     order, stack = [], [root]
@@ -205,27 +223,19 @@ def extract(source: str | None) -> str:
     best = max(order, key=lambda x: x.sum)
     if best.sum <= 0:  # no element holds text: what is there stands directly in the body
         best = root
-    path = list(_up(best))
+    threshold = min(x.density for x in _up(best))
     while best.parent is not None and best.tag not in BLOCK:
         best = best.parent
-    named = next((x for x in path if x.tag == "article"), None)
-    if named is not None:
-        best = named
+    best = next((x for x in _up(best) if x.tag == "article"), best)
     path = set(map(id, _up(best)))
-    threshold = min(x.density for x in _up(best))
     chosen: list[Node] = []
-
-    def choose(x: Node) -> None:
-        if x is best:
-            chosen.append(x)
-        elif id(x) in path:
-            for k in x.kids:
-                if isinstance(k, Node) and not k.aside:
-                    choose(k)
-        elif x.tag in BLOCK and named is None and x.density >= max(threshold, 1e-9):
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if x is best or id(x) not in path and (dense(x, threshold) or x.tag == "article" and any(dense(y, threshold) for y in _below(x))):
             chosen.append(x)
-
-    choose(root)
+        elif id(x) in path or x.tag != "article":
+            stack.extend(_inner(x))
     return "\n".join(blocks(chosen))
 
 
