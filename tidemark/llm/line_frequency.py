@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed; a line that too many distinct documents of one host carry is boilerplate there and is
 removed; a document that loses too many of its words this way is depleted and rejected. Exact copies of a text count as
-one document, so the members of a group of copies do not condemn each other.
+one document, so they do not condemn each other; near copies count each, and a large group of them in one host can be
+rejected whole (see the README).
 """
 
 from __future__ import annotations
