@@ -99,10 +99,17 @@ def family_lane(births: DataFrame, econ: DataFrame, veto: list[str] | None = Non
 
 
 def interval_token_join(events: DataFrame, pools: DataFrame, hours: int = 48, least: float = 0.72) -> DataFrame:
-    """(event_id, pool_id) with a shared token, the pool created up to ``hours`` after the event. Equi-join on tokens, then the interval."""
-    e, p = events.withColumn("token", F.explode("tokens")), pools.withColumn("token", F.explode("tokens"))
-    gap = F.col("created").cast("long") - F.col("published").cast("long")
-    return e.alias("e").join(p.alias("p"), "token").where(gap.between(0, hours * 3600)).groupBy("event_id", "pool_id").agg(F.count("*").alias("shared")).where(F.when(F.col("shared") >= 2, F.least(F.lit(0.95), 0.6 + 0.1 * F.col("shared"))).otherwise(0.0) >= least)
+    """(event_id, pool_id, score) of pairs that ``match_score`` gives ``least`` or more, the pool created up to ``hours`` after the event.
+
+    events need (event_id, published, phrase, tokens), pools (pool_id, created, phrase, tokens); phrase is the normalised
+    title or base name, and an empty or null one matches nothing. Equi-joins on tokens and on equal phrases, then the interval."""
+    side = lambda df, key, time, p: df.where(F.col("phrase") != "").select(key, F.unix_micros(F.col(time).cast("timestamp")).alias(time), F.col("phrase").alias(f"{p}_phrase"), F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias(f"{p}_tokens"))
+    e, p = side(events, "event_id", "published", "e"), side(pools, "pool_id", "created", "p")
+    by_token = e.withColumn("token", F.explode("e_tokens")).join(p.withColumn("token", F.explode("p_tokens")), "token").drop("token")
+    by_phrase = e.join(p, F.col("e_phrase") == F.col("p_phrase"))
+    both = by_token.unionByName(by_phrase).where((F.col("created") - F.col("published")).between(0, hours * 3_600_000_000))
+    score = X.match_score(F.col("e_phrase"), F.col("p_phrase"), F.col("e_tokens"), F.col("p_tokens"))
+    return both.withColumn("score", score).where(F.col("score") >= least).groupBy("event_id", "pool_id").agg(F.max("score").alias("score"))
 
 
 def near_fingerprints(docs: DataFrame, key: str, text: str, most: int = 6, n_bands: int = 8) -> DataFrame:
