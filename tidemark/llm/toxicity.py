@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Tokens (words and their stems, i.e. prefixes) get log-odds between toxic and clean documents with an informative Dirichlet
-prior; a linear scan finds every maximal-scoring segment of a text; extreme-value statistics turn segment scores into
+prior, of which only significant positive ones are kept: any other token, clean ones included, is one constant drift. A linear scan finds every maximal-scoring segment of a text; extreme-value statistics turn segment scores into
 evidence that is comparable between short and long texts, and a logistic fit turns evidence into a probability.
 """
 
@@ -32,22 +32,24 @@ def features(word: str) -> list[str]:
 def maximal_segments(scores: list[float], gaps: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last, score) of positive scores with a penalty ``gaps[k]`` before score k, in
     linear time: each new segment is merged with the nearest earlier one that starts lower and ends lower."""
-    out: list[list] = []  # first, last, sum before, sum after
+    out: list[list] = []  # first, last, sum before, sum after, place of the nearest earlier one that starts lower
     total = 0.0
     for k, s in enumerate(scores):
         total -= gaps[k] if k else 0.0
-        new = [k, k, total, total + s]
+        new = [k, k, total, total + s, 0]
         total += s
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= new[3]:
+                new[4] = j
                 out.append(new)
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            new, last = [out[j][0], new[1], out[j][2], new[3], 0], out[j][4]
             del out[j:]
-    return [(a, b, r - low) for a, b, low, r in out]
+            j = last
+    return [(a, b, r - low) for a, b, low, r, _ in out]
 
 
 @dataclass
