@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.shared import materialize
+from tidemark.shared import materialize, release
 
 
 def utf8_size(text: Column | str) -> Column:
@@ -38,10 +39,12 @@ def place(sizes: np.ndarray, left: np.ndarray, turn: int = 0) -> np.ndarray:
 def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, shard, slot) for every row of ``docs``.
 
-    Rows are slimmed to (key, sizes, fingerprint) before any shuffle. Groups over 1/64 of a shard's share are fewer than
-    128 times the shards at any input size: those are placed first, on the driver, by their sums; of them, groups over
-    half a shard's share are dealt out in parts. All others are hashed to buckets of about ``bucket_rows`` rows,
-    which are packed independently against the capacity that the large groups leave; one task holds one bucket.
+    Tokens are counted as words, with one for the end. Rows are slimmed to (key, sizes, fingerprint) before any shuffle.
+    Groups over 1/64 of a shard's share are fewer than 128 times the shards at any input size: those are placed first, on
+    the driver, by their sums; of them, groups over half a shard's share are dealt out in parts. Other groups of more than
+    an eighth of ``bucket_rows`` rows are placed by their sums too, about 4,096 of them in a task, and only then are their
+    rows spread over the buckets. All others are hashed to buckets of about ``bucket_rows`` rows, which are packed
+    independently against the capacity that the large groups leave; so a task holds one bucket, whatever the groups' sizes.
     Nulls: a null text has size 8 and the checksum of no bytes and shares a group with the empty text; null keys are
     placed as any row. Repeated rows are placed separately. An empty table gives no rows. Extra columns are ignored.
     """
@@ -49,7 +52,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192,
     whole = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(
         F.col(key).alias("k"), (utf8_size(F.col(text)) + 8).alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("crc"),
-        F.xxhash64(whole).alias("g1"), F.xxhash64(whole, F.lit(7)).alias("g2"), (F.length(whole) - F.length(F.translate(whole, " \n\t\r", "")) + 1).cast("long").alias("tokens"),
+        F.xxhash64(whole).alias("g1"), F.xxhash64(whole, F.lit(7)).alias("g2"), (F.regexp_count(whole, F.lit(r"\S+")) + 1).cast("long").alias("tokens"),
     )
     slim = materialize(slim, "shard-rows")
     n, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -57,8 +60,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192,
         return spark.createDataFrame([], T.StructType([docs.schema[key], *(T.StructField(c, t) for c, t in (("size", T.LongType()), ("text_crc32", T.LongType()), ("shard", T.IntegerType()), ("slot", T.LongType())))]))
     buckets = max(1, math.ceil(n / bucket_rows))
     groups = slim.groupBy("g1", "g2").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"))
-    fine = 64 * n_shards
-    large = groups.where((F.col("rows") * fine > n) | (F.col("bytes") * fine > total)).orderBy("g1", "g2").collect()  # fewer than 2 * fine rows
+    fine, whole_rows = 64 * n_shards, max(1, bucket_rows // 8)
+    groups = materialize(groups.where((F.col("rows") * fine > n) | (F.col("bytes") * fine > total) | (F.col("rows") > whole_rows)), "shard-groups")
+    is_large = (F.col("rows") * fine > n) | (F.col("bytes") * fine > total)
+    large = groups.where(is_large).orderBy("g1", "g2").collect()  # fewer than 2 * fine rows
     all_tokens = slim.agg(F.sum("tokens")).first()[0]
     parts = [(r.g1, r.g2, min(r.rows, math.ceil(2 * n_shards * max(r.rows / n, r.bytes / total)))) for r in large]
     sized = spark.createDataFrame(parts, "g1 long, g2 long, parts int")
@@ -70,25 +75,45 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, bucket_rows: int = 8192,
     capacity = np.maximum(capacity, 0) + 1e-12
     capacity /= capacity.sum(axis=0)
     parted = parted.join(F.broadcast(preset), ["g1", "g2", "part"], "left").drop("parts", "part")
-    spread = F.when(F.col("preset").isNull(), F.xxhash64("g1", "g2")).otherwise(F.xxhash64("k", F.lit(5)))
+
+    def settle(ids: tuple, rows: pa.Table) -> pa.Table:
+        sizes = np.stack([rows[c].to_numpy() for c in ("bytes", "tokens", "rows")], axis=1).astype(float)
+        order = np.lexsort([rows["g2"].to_numpy(), rows["g1"].to_numpy()])
+        shard = np.empty(len(sizes), np.int32)
+        shard[order] = place(sizes[order] / sizes.sum(axis=0), capacity.copy(), ids[0].as_py() * 5)
+        return pa.table([rows["g1"], rows["g2"], pa.array(shard)], names=["g1", "g2", "settled"])
+
+    middle = groups.where(~is_large)
+    if n_middle := middle.count():
+        lots = F.pmod(F.xxhash64("g2", "g1", F.lit(11)), F.lit(math.ceil(n_middle / 4096))).cast("int")
+        middle = middle.withColumn("lot", lots).groupBy("lot").applyInArrow(settle, "g1 long, g2 long, settled int")
+        # One row a group meets its many rows: Spark broadcasts it if it is small, and else splits skewed keys.
+        parted = parted.join(middle, ["g1", "g2"], "left").withColumn("preset", F.coalesce("preset", "settled")).drop("settled")
+    spread = F.when(F.col("preset").isNull(), F.xxhash64("g1", "g2")).otherwise(F.xxhash64("k", "crc", F.lit(5)))
     parted = parted.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
 
     kind = docs.schema[key].dataType.simpleString()
 
-    def pack(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = rows["preset"].fillna(-1).to_numpy(np.int64).copy()
+    def pack(ids: tuple, rows: pa.Table) -> pa.Table:
+        shard = pc.fill_null(rows["preset"], -1).to_numpy().astype(np.int32)
         free = np.flatnonzero(shard < 0)
         if len(free):
-            own = rows.iloc[free]
-            code, first = pd.factorize(pd.MultiIndex.from_arrays([own["g1"], own["g2"]]), sort=True)
-            sizes = np.stack([np.bincount(code, w, len(first)) for w in (own["size"], own["tokens"], np.ones(len(own)))], axis=1).astype(float)
-            shard[free] = place(sizes / sizes.sum(axis=0), capacity.copy(), int(ids[0]) * 7)[code]
-        rows = rows.assign(shard=shard.astype(np.int32)).sort_values(["shard", "k", "crc", "size"], kind="stable")
-        return rows.assign(nth=rows.groupby("shard").cumcount())[["k", "size", "crc", "bucket", "shard", "nth"]]
-
-    placed = parted.groupBy("bucket").applyInPandas(pack, f"k {kind}, size long, crc long, bucket int, shard int, nth long")
+            pair = np.stack([rows["g1"].to_numpy()[free], rows["g2"].to_numpy()[free]], axis=1)
+            first, code = np.unique(pair, axis=0, return_inverse=True)
+            sizes = np.stack([np.bincount(code, w, len(first)) for w in (rows["size"].to_numpy()[free], rows["tokens"].to_numpy()[free], np.ones(len(free)))], axis=1).astype(float)
+            shard[free] = place(sizes / sizes.sum(axis=0), capacity.copy(), ids[0].as_py() * 7)[code]
+        # Keys stay Arrow values: through pandas, a null among them would turn the others into floats.
+        rows = rows.append_column("shard", pa.array(shard, pa.int32()))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("shard", "k", "crc", "size")]))
+        count = np.bincount(shard, minlength=n_shards)
+        nth = np.arange(len(shard)) - np.repeat(np.cumsum(count) - count, count)
+        return rows.select(["k", "size", "crc", "bucket", "shard"]).append_column("nth", pa.array(nth, pa.int64()))
+
+    placed = parted.groupBy("bucket").applyInArrow(pack, f"k {kind}, size long, crc long, bucket int, shard int, nth long")
     placed = materialize(placed, "shard-placed")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    release(slim)
+    release(groups)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row per shard and bucket
     return placed.join(base, ["shard", "bucket"]).select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("nth")).alias("slot"))
