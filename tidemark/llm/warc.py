@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import files
@@ -58,36 +59,62 @@ def _arc_line(version: int, url: str, ip: str, date: str, kind: str, block: byte
     return f"{url} {ip} {date} {kind}{more} {len(block)}\n".encode()
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file after its version block. Fields are read from the right, so blanks in a URL don't shift
-    them; a line that doesn't fit, or a length beyond the end of the file, raises ValueError with the offset."""
-    at, version = 0, None
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+def parse_arc(source) -> Iterator[ArcRecord]:
+    """Records of an ARC file, bytes or an open uncompressed stream, after its version block; a stream is held record by
+    record. Fields are read from the right, so blanks in a URL don't shift them; a line that doesn't fit, or a length
+    beyond the end of the file, raises ValueError with the offset."""
+    stream, at, version = io.BytesIO(source) if isinstance(source, bytes) else source, 0, None
+    while raw := stream.readline():
+        start, at = at, at + len(raw)
+        line = raw.decode("utf-8", "replace").rstrip("\r\n")
+        if not line:
             continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        size = line.rsplit(" ", 1)[-1]
+        if version is None and not line.startswith("filedesc://"):
+            raise ValueError(f"no version block at {start}")
+        parts = line.rsplit(" ", len(FIELDS[version]) - 1) if version else []
+        if not raw.endswith(b"\n") or not size.isdecimal() or version and len(parts) < len(FIELDS[version]):
+            raise ValueError(f"bad header line at {start}")
+        block = stream.read(int(size))
+        at += len(block)
+        if len(block) < int(size):
+            raise ValueError(f"record at {start} declares {size} bytes, more than there are")
         if version is None:
-            if not line.startswith("filedesc://"):
-                raise ValueError(f"no version block at {at}")
-            size = int(line.rsplit(" ", 1)[1])
-            block = data[end + 1 : end + 1 + size]
-            version = int(block.split(b" ", 1)[0])
-            if version not in FIELDS or len(block) < size:
-                raise ValueError(f"bad version block at {at}")
-            at = end + 1 + size
+            number = block.split(b" ", 1)[0]
+            version = int(number) if number.isdigit() else 0
+            if version not in FIELDS:
+                raise ValueError(f"bad version block at {start}")
             continue
-        names = FIELDS[version]
-        parts = line.rsplit(" ", len(names) - 1)
-        if len(parts) < len(names) or end < 0 or not parts[-1].isdigit():
-            raise ValueError(f"bad header line at {at}")
-        got = dict(zip(names, parts, strict=True))
-        size = int(got["length"])
-        if end + 1 + size > len(data):
-            raise ValueError(f"record at {at} declares {size} bytes, more than there are")
-        yield ArcRecord(got["url"], got["ip"], got["date"], got["type"], data[end + 1 : end + 1 + size], at)
-        at = end + 1 + size
+        got = dict(zip(FIELDS[version], parts, strict=True))
+        yield ArcRecord(got["url"], got["ip"], got["date"], got["type"], block, start)
+
+
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, url, ip, date, type, block) of every record of the ``.arc`` and ``.arc.gz`` files under a path or glob.
+
+    Spark lists the files; each is read as a stream by one task, which holds one record at a time."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(r"\.arc(\.gz)?$"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with files.read(name) as raw, (gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw)) as stream:
+                    for r in parse_arc(stream):
+                        yield pa.RecordBatch.from_pydict({"path": [name], "offset": pa.array([r.offset], pa.int64()), "url": [r.url], "ip": [r.ip], "date": [r.date], "type": [r.type], "block": pa.array([r.block], pa.binary())})
+
+    return found.mapInArrow(run, "path string, offset long, url string, ip string, date string, type string, block binary")
+
+
+def convert_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, warc): the WARC record, as bytes, of each record of the ARC files under a path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = [convert(ArcRecord(r["url"], r["ip"], r["date"], r["type"], r["block"], r["offset"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "offset", "warc"])
+
+    return read_arc_files(spark, path).mapInArrow(run, "path string, offset long, warc binary")
 
 
 def warc_date(date: str) -> str:
@@ -96,12 +123,15 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
 
+LOW = (1 << 62) - 1
+
+
 def record_id(row: int | None, salt: str = "") -> str:
-    """URN of a version-8 UUID that holds a row number (62 bits, two's complement), or of a name-based one without."""
+    """URN of a version-8 UUID that holds a 64-bit row number, its two highest bits before the variant's, or of a
+    name-based one without."""
     if row is None:
         return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, salt)}"
-    n = row & ((1 << 62) - 1)
-    return f"urn:uuid:{uuid.UUID(int=(0x7461 << 112) | (8 << 76) | (2 << 62) | n)}"
+    return f"urn:uuid:{uuid.UUID(int=(0x7461 << 112) | (8 << 76) | ((row >> 62 & 3) << 64) | (2 << 62) | (row & LOW))}"
 
 
 def row_of(urn: str) -> int | None:
@@ -109,8 +139,8 @@ def row_of(urn: str) -> int | None:
     x = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:"))
     if x.version != 8:
         return None
-    n = x.int & ((1 << 62) - 1)
-    return n - (1 << 62) if n >> 61 else n
+    n = (x.int >> 64 & 3) << 62 | x.int & LOW
+    return n - (1 << 64) if n >> 63 else n
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -130,13 +160,12 @@ def http_header(head: bytes, name: str) -> str | None:
     return None
 
 
-def convert(record: ArcRecord, refers_to: Callable[[str | None, bytes], int | None] = lambda row, digest: None) -> bytes:
-    """The WARC record for an ARC record: response, resource for blocks that aren't HTTP, or revisit if ``refers_to``
-    names the row of an earlier record with the same payload."""
+def convert(record: ArcRecord, target: int | None = None) -> bytes:
+    """The WARC record for an ARC record: response, resource for blocks that aren't HTTP, or revisit if ``target`` is the
+    row of another record with the same payload."""
     head, payload = split_http(record.block)
     digest = hashlib.sha256(payload).digest()
     row = http_header(head, ROW_HEADER)
-    target = refers_to(row, digest)
     kind = "revisit" if target is not None else "response" if head else "resource"
     body = head if kind == "revisit" else record.block
     lines = [
@@ -149,6 +178,13 @@ def convert(record: ArcRecord, refers_to: Callable[[str | None, bytes], int | No
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def about_file(name: str) -> bytes:
+    """The ``warcinfo`` record that a file begins with."""
+    body = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(None, name)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an open, uncompressed WARC stream; ValueError where it is cut off."""
     while True:
@@ -170,17 +206,25 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes: int = 64 << 20, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """Passes every row through an ARC record and the converter into gzipped WARC files; returns their manifest.
+def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes: int = 64 << 20, broadcast_digests: int = 200_000, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
+    """Passes every row through an ARC record and the converter into WARC files, a gzip member per record; returns their
+    manifest.
 
     Equal payloads of ``least`` bytes or more: the smallest key is the response, the others revisit it. Which row that is
-    comes from an aggregation over digests; the payloads themselves are moved once, to meet that answer.
+    comes from an aggregation over digests. Up to ``broadcast_digests`` repeated ones (counted first) are broadcast, and
+    the payloads aren't moved at all; beyond, they are moved once, by digest and key, to meet that answer.
     """
     body = F.encode(F.coalesce(F.col(source), F.lit("")), "UTF-8")
-    slim = pages.select(F.col(key).alias("k"), F.sha2(body, 256).alias("digest"), F.length(body).alias("n")).where((F.col("n") >= least) & F.col("k").isNotNull())
-    firsts = slim.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("digest", "first")
-    again = slim.join(firsts, "digest").where(F.col("k") != F.col("first")).select("k", "first").distinct()
-    rows = pages.select(key, url, source).join(again, F.col(key) == F.col("k"), "left").select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.col(source).alias("h"), F.col("first").cast("long").alias("first"))
+    rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.col(source).alias("h"), F.when((F.length(body) >= least) & F.col(key).isNotNull(), F.unhex(F.sha2(body, 256))).alias("digest"))
+    slim = rows.where(F.col("digest").isNotNull()).select("k", "digest")
+    firsts = slim.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("rows")).where(F.col("rows") > 1).select(F.col("digest").alias("d"), "first")
+    firsts = materialize(firsts, "repeated-digests")
+    if firsts.count() <= broadcast_digests:
+        rows = rows.join(F.broadcast(firsts), F.col("digest") == F.col("d"), "left")
+    else:
+        again = slim.join(firsts, F.col("digest") == F.col("d")).where(F.col("k") != F.col("first")).select(F.col("k").alias("k2"), "d", "first").distinct()
+        rows = rows.join(again, (F.col("k") == F.col("k2")) & (F.col("digest") == F.col("d")), "left")
+    rows = rows.select("k", "u", "h", F.when(F.col("first") != F.col("k"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
@@ -189,7 +233,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes:
         def flush() -> pa.RecordBatch:
             nonlocal nth, held, buffer
             path = f"{folder}/pages-{part:06d}-{nth:06d}.warc.gz"
-            files.write(path, buffer, attempt)
+            files.write(path, [gzip.compress(about_file(path.rsplit("/", 1)[1]), 3, mtime=0), *buffer], attempt)
             nth, held, buffer = nth + 1, 0, []
             return pa.RecordBatch.from_pydict({"path": [path]})
 
@@ -200,12 +244,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes:
                 for i, u, h in zip(ids, urls, texts, strict=True):
                     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"{ROW_HEADER}: {i}\r\n" if i is not None else "") + "\r\n"
                     arc.append((u or "-", "0.0.0.0", "20200101000000", "text/html", head.encode() + (h or "").encode()))
-                seen = {str(i): f for i, f in zip(ids, first, strict=True) if i is not None and f is not None}
                 # Both versions of the format pass through the converter, by turns.
-                records = parse_arc(arc_file(1 + (a // 256 + part) % 2, arc))
-                data = gzip.compress(b"".join(convert(r, lambda row, _: seen.get(row)) for r in records), 3, mtime=0)
-                buffer.append(data)
-                held += len(data)
+                for r, target in zip(parse_arc(arc_file(1 + (a // 256 + part) % 2, arc)), first, strict=True):
+                    buffer.append(gzip.compress(convert(r, target), 3, mtime=0))
+                    held += len(buffer[-1])
                 if held >= file_bytes:
                     yield flush()
         if buffer:
@@ -224,6 +266,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 with files.read(path) as f, gzip.open(f) as stream:
                     for headers, block in read_warc(stream):
+                        if headers["warc-type"] == "warcinfo":
+                            continue
                         head, payload = split_http(block)
                         digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
                         if headers["warc-type"] != "revisit" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
