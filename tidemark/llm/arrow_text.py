@@ -39,7 +39,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about ``limit`` bytes of text each (one row at least)."""
     if not batch.num_rows:
         return

@@ -15,8 +15,9 @@ import pyarrow as pa
 
 from tidemark.llm.arrow_text import buffers, ragged, spaced_chunks
 
-#: Chunks that a worker keeps; beyond it the cache starts anew, so memory is bounded and no chunk goes without its ids.
-CACHE = 600_000
+#: Chunks that a worker keeps, of so many bytes at most each; beyond it the cache starts anew, so memory is bounded and no
+#: chunk goes without its ids.
+CACHE, CACHE_BYTES = 200_000, 48
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"( ?)([{LETTERS}]+)([.,]?)")
 
@@ -63,11 +64,16 @@ class Encoder:
         distinct, codes, first = spaced_chunks(data, offs)
         if len(self.cache) + len(distinct) > CACHE:
             self.cache, self.pieces = {}, {}
-        cache, hard = self.cache, []
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        cache, hard, long = self.cache, [], []
         for c in distinct:
             if c not in cache:
                 text = c.decode()
-                if (ids := self._chunk(text)) is None:
+                if len(c) > CACHE_BYTES:
+                    long.append(c)
+                    hard.append(text)
+                elif (ids := self._chunk(text)) is None:
                     hard.append(text)
                 else:
                     cache[c] = ids
@@ -76,6 +82,8 @@ class Encoder:
             for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[text.encode()] = np.array(e.ids, "<u4").tobytes()
         runs = list(map(cache.__getitem__, distinct))
+        for c in long:
+            del cache[c]
         lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
         values = np.frombuffer(b"".join(runs), "<u4")
         starts = np.cumsum(lengths) - lengths
@@ -94,14 +102,14 @@ _ENCODERS: dict[tuple, Encoder] = {}
 def encoder(path: str, end_id: int | None = 1) -> Encoder:
     """The worker's encoder for a file, kept between tasks."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
+        if not os.path.exists(own := path):  # this machine may keep the public files elsewhere than the driver's
+            import public_tokenizers
+
+            own = str(public_tokenizers.path(os.path.basename(path)))
+        _ENCODERS[path, end_id] = Encoder(own, end_id)
     return _ENCODERS[path, end_id]
 
 
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").data)
-
-
-def record_batch(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))

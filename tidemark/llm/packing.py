@@ -141,5 +141,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         if held:
             yield lane()
 
-    rows = docs.select(key, text).sortWithinPartitions(key).withColumn("part", F.spark_partition_id().cast("long"))
+    rows = docs.select(key, text).sortWithinPartitions(key, text).withColumn("part", F.spark_partition_id().cast("long"))
     return rows.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long")
