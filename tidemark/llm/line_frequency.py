@@ -1,9 +1,9 @@
 """Cross-document line frequency with DataFrame functions only.
 
 Lines are normalised and hashed; a line that too many distinct documents of one host carry is boilerplate there and is
-removed; a document that loses too many of its words this way is depleted and rejected. Exact copies of a text count as
-one document, so they do not condemn each other; near copies count each, and a large group of them in one host can be
-rejected whole (see the README).
+removed; a document that loses too many of its words this way is depleted and rejected. With ``copies_once`` exact copies
+of a text count as one document, so that they do not condemn each other before a later stage removes them; near copies
+count each, and a large group of them in one host can be rejected whole (see the README).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ LEAST_DOCS, SMALL_SHARE, MAX_DOCS = 2, 0.05, 100
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITE), "")
 
 
 def line_key(line: Column) -> Column:
@@ -55,60 +55,88 @@ def dup_lines(text: Column) -> Column:
     return (F.size(own) - F.size(F.array_distinct(own))).cast("long")
 
 
+def _whole(docs: DataFrame, **own: Column) -> DataFrame:
+    """The rows as one column ``row`` beside columns of the operator's own: names in ``docs`` can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
 def line_limit(texts: Column, max_share: float, min_docs: int) -> Column:
-    """Most distinct texts of a host with ``texts`` that may carry a line: ``max_share`` of them, ``min_docs`` at least;
-    but SMALL_SHARE, which hosts of few texts can reach, and MAX_DOCS, however large the host, bound it. LEAST_DOCS texts are never too many."""
+    """Most documents of a host with ``texts`` of them that may carry a line: ``max_share`` of them, ``min_docs`` at least;
+    but SMALL_SHARE, which hosts of few texts can reach, and MAX_DOCS, however large the host, bound it. LEAST_DOCS documents are never too many."""
     return F.greatest(F.lit(LEAST_DOCS), F.least(F.greatest(texts * max_share, F.lit(min_docs)), texts * SMALL_SHARE, F.lit(MAX_DOCS)))
 
 
-def frequent_lines(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, host: str = "source", text: str = "text") -> DataFrame:
-    """(host, bad): hashes of the lines that more than ``line_limit`` of the host's distinct texts contain."""
-    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
-    totals = each.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+def frequent_lines(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, host: str = "source", text: str = "text", key: str | None = None) -> DataFrame:
+    """(host, bad): sorted hashes of the lines that more than ``line_limit`` of the host's documents contain.
+
+    Documents are told apart by ``key`` and text, or by the text alone without a key, so that exact copies count once. A
+    null host is a host of its own; null texts have no lines; repeated rows are one document."""
+    same = F.xxhash64(F.col(text)) if key is None else F.xxhash64(F.col(key), F.col(text))
+    each = docs.select(F.col(host).cast("string").alias("host"), same.alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
+    totals = each.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts")).withColumnRenamed("host", "h")
     keys = F.array_distinct(F.transform(F.filter(lines(F.col("x")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_key))
     # distinct() first merges copies within each task; the second count then merges (host, line) before its shuffle.
     freq = each.select("host", "t", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull()).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
-    bad = freq.join(totals, "host").where(F.col("n") > line_limit(F.col("texts"), max_share, min_docs))
+    bad = freq.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_limit(F.col("texts"), max_share, min_docs))
     return bad.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("bad"))
 
 
-def _judged(docs: DataFrame, bad: DataFrame, min_left: float, text: str, host: str) -> DataFrame:
-    # The lists are broadcast once they are known to be small; beyond that Spark chooses the join and splits skewed hosts.
-    bad = materialize(bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad")), "frequent-lines")
-    small = (bad.agg(F.sum(F.size("_bad") + 1)).first()[0] or 0) <= BROADCAST_LINES
-    out = docs.join(F.broadcast(bad) if small else bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
-    hit = F.col("_bad").isNotNull()
-    kept = F.filter(lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("_bad", line_key(x)), F.lit(False)))
-    return out.withColumn("_left", F.when(hit & F.col(text).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)))
-
-
-def judge_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def _judged(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``rows`` (x text, host, further columns) with ``left``, the text without its host's frequent lines.
+
+    The lists are broadcast once they are known to be small. Beyond that only (document, place, line) hashes of the lines
+    are shuffled, by host and line, where Spark splits the hot ones; then each document meets its own list of places."""
+    bad = materialize(bad.select(F.col("host").alias("bad_host"), "bad"), "frequent-lines")
+    n = bad.agg(F.sum(F.size("bad") + 1)).first()[0] or 0
+    own = lines(F.col("x"))
+    if n <= BROADCAST_LINES:
+        # Parts of about eight hashes, chosen by the hash, so that a line isn't compared with the whole list.
+        parts = F.greatest(F.lit(1), F.floor(F.size("bad") / 8)).cast("int")
+        bad = bad.select("bad_host", F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.filter("bad", lambda x: F.pmod(x, parts) == i)).alias("bad"))
+        rows = rows.join(F.broadcast(bad), F.col("host").eqNullSafe(F.col("bad_host")), "left")
+        keyed = F.transform(own, lambda x: F.struct(x.alias("x"), line_key(x).alias("k")))
+        kept = F.filter(keyed, lambda s: ~F.array_contains(F.element_at("bad", (F.pmod(s["k"], F.size("bad")) + 1).cast("int")), s["k"]))["x"]
+    else:
+        same = [F.xxhash64("host", "x").alias("d1"), F.xxhash64("x", "host", F.lit(7)).alias("d2")]
+        each = rows.where(F.col("x").isNotNull()).select("host", *same, F.transform(own, line_key).alias("line")).select("host", "d1", "d2", F.posexplode("line").alias("at", "line"))
+        bad = bad.select(F.col("bad_host"), F.explode("bad").alias("bad_line"))
+        at = each.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line"))).groupBy("d1", "d2").agg(F.collect_set("at").alias("bad"))
+        rows = rows.withColumns({"d1": same[0], "d2": same[1]}).join(at, ["d1", "d2"], "left")
+        kept = F.filter(own, lambda x, i: ~F.array_contains("bad", i))
+    return rows.withColumn("left", F.when(F.col("bad").isNotNull() & F.col("x").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("x")))
+
+
+def judge_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, key: str = "doc_id", text: str = "text", host: str = "source", copies_once: bool = True) -> DataFrame:
     """One row per document: base statistics, base_failed and kept.
 
     kept: not base_failed, and at least ``min_left`` of the words remain once frequent lines are gone. Null and empty
-    texts have no words, so base_failed holds; a null host is a host of its own; repeated rows are judged alike; ties do
-    not arise. An empty table gives no rows. Further columns of ``docs`` are ignored.
+    texts have no words, so base_failed holds; a null host is a host of its own; repeated rows are judged alike; null keys
+    and long texts need no care; ties do not arise. An empty table gives no rows. Further columns of ``docs`` are ignored.
     """
-    base = docs.select(key, text, host)
-    out = _judged(base, frequent_lines(base, max_share, min_docs, host, text), min_left, text, host)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = out.select(key, "_left", whole.alias("x"), words(whole).alias("w"))
+    base = docs.select(F.col(key).alias("key"), F.col(text).alias("x"), F.col(host).cast("string").alias("host"))
+    out = _judged(base, frequent_lines(base, max_share, min_docs, "host", "x", None if copies_once else "key"))
+    whole = F.coalesce(F.col("x"), F.lit(""))
+    out = out.select("key", "left", whole.alias("x"), words(whole).alias("w"))
     out = with_repeat_words(out, "w", "n_repeat_words")
     n = F.size("w").cast("long")
     out = out.select(
-        key, n.alias("n_words"), F.length(F.translate("x", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), (F.length("x") - F.length(F.translate("x", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        dup_lines(F.col("x")).alias("n_dup_lines"), "n_repeat_words", F.size(words(F.coalesce("_left", F.lit("")))).cast("long").alias("n_left"),
+        F.col("key").alias(key), n.alias("n_words"), F.length(F.translate("x", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), (F.length("x") - F.length(F.translate("x", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        dup_lines(F.col("x")).alias("n_dup_lines"), "n_repeat_words", F.size(words(F.coalesce("left", F.lit("")))).cast("long").alias("n_left"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left * F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs``, with its own columns, without rejected documents and with frequent lines removed from the others."""
-    out = _judged(docs, frequent_lines(docs, max_share, min_docs, host, text), min_left, text, host)
-    out = with_repeat_words(out.withColumn("_w", words(F.coalesce(F.col(text), F.lit("")))), "_w", "_rep")
-    n = F.size("_w")
-    good = (n >= 50) & (100 * F.col("_rep") <= 50 * n) & (F.size(words(F.coalesce("_left", F.lit("")))) >= min_left * n)
+def clean_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, text: str = "text", host: str = "source", copies_once: bool = True, key: str = "doc_id") -> DataFrame:
+    """``docs``, with its own columns whatever their names, without rejected documents and with frequent lines removed from
+    the others. Null, empty and short texts are rejected, repeated rows are judged alike, a null host is a host of its
+    own, null keys need no care; whole texts of any length are read; an empty table gives no rows."""
+    rows = _whole(docs, x=F.col(text), host=F.col(host).cast("string"))
+    out = _judged(rows, frequent_lines(docs, max_share, min_docs, host, text, None if copies_once else key))
+    out = with_repeat_words(out.withColumn("w", words(F.coalesce("x", F.lit("")))), "w", "rep")
+    n = F.size("w")
+    good = (n >= 50) & (100 * F.col("rep") <= 50 * n) & (F.size(words(F.coalesce("left", F.lit("")))) >= min_left * n)
     # As a generated column the verdict stays where it is: a filter that moves below would put whole word lists into lambdas.
-    return out.withColumn("_good", F.explode(F.array(good))).where("_good").select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in docs.columns])
+    out = out.withColumn("good", F.explode(F.array(good))).where("good")
+    return out.select(*[(F.col("left") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
