@@ -7,24 +7,26 @@ frequencies are relative, so a text's logits are a weighted mean over its words:
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_text import buffers, slices, word_chunks
-from tidemark.llm.training import held_out, sample
+from tidemark.llm.training import fit_in_task, held_out, sample
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 UND = "und"
-#: Bytes at the edges of a word that are no letters; words seen so often that a worker keeps no more of them.
+#: Bytes at the edges of a word that are no letters.
 EDGES = bytes(range(65)) + b"[\\]^_`{|}~\x7f"
-MEMO = 600_000
+#: Words that a worker keeps, of so many bytes at most each.
+MEMO, MEMO_BYTES = 150_000, 48
 
 
 def word_grams(word: str, orders: tuple[int, ...]) -> list[str]:
@@ -40,33 +42,44 @@ class Model:
     bias: np.ndarray
     orders: tuple[int, ...]
     temperature: float = 1.0
-    memo: dict[bytes, tuple[float, ...]] = field(default_factory=dict)  # words seen by this worker
-    table: dict[str, tuple[float, ...]] | None = None
+    memo: dict[bytes, int] = field(default_factory=dict)  # words seen by this worker: their rows in ``values``
+    values: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "table": None}
+        return self.__dict__ | {"memo": {}, "values": None}
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> np.ndarray:
         """Summed weights of a word's n-grams for each language, and how many n-grams there are."""
-        if (table := self.table) is None:
-            table = self.table = {g: tuple(self.weights[i].tolist()) for g, i in self.index.items()}
         grams = word_grams(word, self.orders)
-        rows = [table[g] for g in grams if g in table]
-        return (*(map(sum, zip(*rows, strict=True)) if rows else [0.0] * len(self.langs)), float(len(grams)))
+        known = [i for g in grams if (i := self.index.get(g)) is not None]
+        return np.append(self.weights[known].sum(axis=0), len(grams))
+
+    def words(self, distinct: list[bytes]) -> np.ndarray:
+        """``word`` of each chunk; short ones are remembered, long ones are scored anew."""
+        if self.values is None or len(self.memo) + len(distinct) > len(self.values):
+            self.memo, self.values = {}, np.empty((max(MEMO, 2 * len(distinct)), len(self.langs) + 1))
+        memo, values, long = self.memo, self.values, []
+        at = np.empty(len(distinct), np.int64)
+        for k, w in enumerate(distinct):
+            core = w.strip(EDGES)
+            if (i := memo.get(core)) is None:
+                if len(core) > MEMO_BYTES:
+                    long.append((k, self.word(core.decode("utf-8", "replace"))))
+                    i = 0
+                else:
+                    i = memo[core] = len(memo)
+                    values[i] = self.word(core.decode("utf-8", "replace"))
+            at[k] = i
+        out = values[at]
+        for k, row in long:
+            out[k] = row
+        return out
 
     def logits(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Logits and n-gram counts of an Arrow string column."""
         data, offs = buffers(texts)
         distinct, codes, first = word_chunks(data, offs)
-        if len(self.memo) + len(distinct) > MEMO:
-            self.memo.clear()
-        memo, known = self.memo, []
-        for w in distinct:
-            core = w.strip(EDGES)
-            if (got := memo.get(core)) is None:
-                got = memo[core] = self.word(core.decode("utf-8", "replace"))
-            known.append(got)
-        values = np.array(known).reshape(-1, len(self.langs) + 1)
+        values = self.words(distinct)
         sums = np.zeros((len(offs) - 1, len(self.langs) + 1))
         for c in range(values.shape[1]):
             total = np.append(0.0, np.cumsum(values[codes, c]))
@@ -123,43 +136,61 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def count_grams(texts: list[str], orders: tuple[int, ...]) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Numbers of all n-grams, and for each text the numbers of its n-grams with their counts.
+
+    Texts are counted one by one into integer arrays, so memory follows the n-grams, not Python objects per occurrence."""
+    number: dict[str, int] = {}
+    memo: dict[str, np.ndarray] = {}
+    out = []
+    for text in texts:
+        words = Counter(text.split())
+        if len(memo) + len(words) > MEMO:
+            memo.clear()
+        parts, times = [], []
+        for w, m in words.items():
+            if (ids := memo.get(w)) is None:
+                ids = np.array([number.setdefault(g, len(number)) for g in word_grams(w, orders)], np.int32)
+                if len(w) <= MEMO_BYTES:
+                    memo[w] = ids
+            parts.append(ids)
+            times.append(m)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        ids, where = np.unique(flat, return_inverse=True)
+        out.append((ids, np.bincount(where, np.repeat(times, [len(p) for p in parts]), len(ids)).astype(np.float32)))
+    return number, out
+
+
 def train(texts: list[str], langs: list[str], orders: tuple[int, ...] = (1, 2, 3), features: int = 20_000, min_docs: int = 2) -> Model:
     """Fits the model. Every fifth text serves calibration only. The ``features`` n-grams of the most documents are used.
     A language needs one text; with a single language all scores are 1."""
     names = sorted(set(langs))
-    memo: dict[str, Counter] = {}
-
-    def count(text: str) -> Counter:
-        out: Counter = Counter()
-        for w, m in Counter(text.split()).items():
-            if w not in memo:
-                memo[w] = Counter(word_grams(w, orders))
-            for g, c in memo[w].items():
-                out[g] += c * m
-        return out
-
-    counts = [count(t) for t in texts]
-    keep = [i for i, c in enumerate(counts) if c]
-    df: Counter = Counter()
+    number, counts = count_grams(texts, orders)
+    keep = [i for i, (ids, _) in enumerate(counts) if len(ids)]
+    df = np.zeros(len(number), np.int64)
     for i in keep:
-        df.update(counts[i].keys())
+        df[counts[i][0]] += 1
+    grams = list(number)
     least = min_docs if len(keep) > 50 else 1
-    vocab = sorted(sorted((g for g, n in df.items() if n >= least), key=lambda g: (-df[g], g))[:features])
-    index = {g: i for i, g in enumerate(vocab)}
-    idf = np.array([np.log((1 + len(keep)) / (1 + df[g])) + 1 for g in vocab])
+    vocab = sorted(grams[i] for i in sorted(np.flatnonzero(df >= least).tolist(), key=lambda i: (-df[i], grams[i]))[:features])
+    place = np.full(len(number), -1, np.int32)
+    place[[number[g] for g in vocab]] = np.arange(len(vocab))
+    idf = np.log((1 + len(keep)) / (1 + df[[number[g] for g in vocab]])) + 1 if vocab else np.zeros(0)
     scale = 30.0  # relative frequencies are small; this only sets the unit of the weights
+    del grams, number, df
 
-    def row(c: Counter) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(index[g], n) for g, n in c.items() if g in index]
-        i = np.array([p[0] for p in pairs], np.int64)
-        v = np.array([p[1] for p in pairs], float) / max(sum(c.values()), 1)
-        return np.append(i, len(vocab)), np.append(v * idf[i] * scale, 1.0)
-
-    x = [row(counts[i]) for i in keep]
+    x = []
+    for i in keep:
+        ids, n = counts[i]
+        own = place[ids]
+        order = np.argsort(own[own >= 0], kind="stable")
+        own, v = own[own >= 0][order].astype(np.int64), (n[own >= 0] / max(n.sum(), 1))[order]
+        x.append((np.append(own, len(vocab)), np.append(v * idf[own] * scale, 1.0)))
+    del counts
     y = np.array([names.index(langs[i]) for i in keep], np.int64)
     fit = [j for j in range(len(x)) if j % 5 or len(x) < 10]
     w = ftrl([x[j] for j in fit], y[fit], len(vocab) + 1, len(names)) if x else np.zeros((len(vocab) + 1, len(names)))
-    model = Model(names, index, w[:-1] * (idf * scale)[:, None], w[-1], orders)
+    model = Model(names, {}, w[:-1] * (idf * scale)[:, None], w[-1], orders)
     test = [j for j in range(len(x)) if not (j % 5 or len(x) < 10)]
     if test and len(names) > 1:
         z = np.array([x[j][1] @ w[x[j][0]] for j in test])
@@ -170,11 +201,12 @@ def train(texts: list[str], langs: list[str], orders: tuple[int, ...] = (1, 2, 3
     return model
 
 
-def fit_model(docs: DataFrame, sample_rows: int = 2000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fits on about ``sample_rows`` labelled rows at most, spread by a hash of the key, none of them held out."""
-    rows = sample(docs.select(key, text, lang).where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()), sample_rows, key)
-    got = rows.orderBy(key, text).select(text, lang).collect()
-    return train([r[0] for r in got], [r[1] for r in got]) if got else None
+def fit_model(docs: DataFrame, sample_rows: int = 2000, sample_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """Fits, in one task of an executor, on ``sample_rows`` labelled rows of ``sample_bytes`` bytes at most, none of them
+    held out. Both bounds are exact (see ``sample``); a rare language gets one row at least. None without labels."""
+    rows = docs.select(key, text, lang).where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    got = fit_in_task(sample(rows, sample_rows, sample_bytes, key, text, lang), lambda texts, langs: pickle.dumps(train(texts, langs)))
+    return pickle.loads(got) if got else None
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +227,9 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs``, with its own columns, without rows whose language is ``und`` or whose score is below ``min_score``."""
+    """``docs``, with its own columns whatever their names, without rows whose language is ``und`` or whose score is below
+    ``min_score``. Null, empty and letterless texts are ``und`` and go, as does every row without a model; repeated rows
+    are judged alike and null keys don't matter; an empty table gives no rows; whole texts of any length are read."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

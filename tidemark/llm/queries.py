@@ -32,7 +32,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.judge_documents(table(spark, sf_dir, "documents"))
+    return line_frequency.judge_documents(table(spark, sf_dir, "documents"), copies_once=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,32 @@ QUERIES: dict[str, Query] = {
     "op10_bit_packing": op10_bit_packing,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(decontamination.WORD)} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS.format(decontamination.WORD)} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM b WHERE len(w) > 0),
+v AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, (SELECT DISTINCT n FROM g) AS k WHERE len(w) >= n),
+h AS (SELECT rid, i, v.n, item FROM v JOIN g ON v.n = g.n AND array_to_string(w[i:i + v.n - 1], ' ') = gram),
+o AS (SELECT rid, len(list_distinct(flatten(list(range(i, i + n))))) AS n_hit, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM h GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN o USING (rid)""",
+    "op3_line_frequency": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, source, text, i, ls[i] AS line, lower(array_to_string(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'), ' ')) AS k, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+t AS (SELECT source, count(*) AS docs FROM (SELECT DISTINCT source, doc_id, text FROM d WHERE text IS NOT NULL) GROUP BY source),
+f AS (SELECT source, k, count(*) AS c FROM (SELECT DISTINCT source, doc_id, text, k FROM l WHERE n > 0) GROUP BY source, k),
+bad AS (SELECT f.source, k FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE c > greatest(2, least(greatest(docs * 0.02, 20), docs * 0.05, 100))),
+left_n AS (SELECT rid, sum(CASE WHEN bad.k IS NULL THEN n ELSE 0 END) AS n_left FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.k = bad.k GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE n > 0 GROUP BY rid),
+g AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT rid, len(list_distinct(flatten(list([i, i + 1, i + 2])))) AS n_rep FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1 GROUP BY rid),
+a AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words, CAST(coalesce(n_left, 0) AS BIGINT) AS n_left FROM d LEFT JOIN dup USING (rid) LEFT JOIN r USING (rid) LEFT JOIN left_n USING (rid)),
+e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a) SELECT *, NOT base_failed AND n_left >= 0.5 * n_words AS kept FROM e""",
+    "op7_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("[^\x20\x09-\x0D]+")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s), e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u AS x JOIN u AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id, len(g) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, len(g)""",
     "op9_warc": """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
 }

@@ -1,12 +1,15 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens (words and their stems, i.e. prefixes) get log-odds between toxic and clean documents with an informative Dirichlet
-prior, of which only significant positive ones are kept: any other token, clean ones included, is one constant drift. A linear scan finds every maximal-scoring segment of a text; extreme-value statistics turn segment scores into
-evidence that is comparable between short and long texts, and a logistic fit turns evidence into a probability.
+Tokens (words and their stems, i.e. prefixes) get signed log-odds between toxic and clean documents with an informative
+Dirichlet prior: toxic-leaning ones raise a segment, clean-leaning ones lower it, and those whose log-odds can't be told
+from nothing cost a small drift. A linear scan finds every maximal-scoring segment of a text; extreme-value statistics turn
+segment scores into evidence that is comparable between short and long texts, and a logistic fit turns evidence into a
+probability.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow_text import buffers, slices, word_chunks
-from tidemark.llm.training import held_out, sample
+from tidemark.llm.training import fit_in_task, held_out, sample
+from tidemark.shared import materialize, release
 
 TOKEN = re.compile(r"[^\W_]+")
 STEMS = range(3, 8)
@@ -62,33 +66,34 @@ class Model:
     intercept: float = -4.0
 
     def token(self, word: str) -> float:
-        """Log-odds of a token: its most specific known feature's; else 0, which stands for the drift."""
+        """Log-odds of a token: its most specific known feature's; else minus the drift, which a negative one adds to."""
         w = self.weights
         for f in (word, *(f"{word[:n]}*" for n in reversed(STEMS) if n < len(word))):
             if f in w:
-                return w[f]
-        return 0.0
+                return w[f] if w[f] > 0 else w[f] - self.drift
+        return -self.drift
 
     def chunk(self, chunk: bytes) -> float:
-        return max((self.token(t) for t in TOKEN.findall(chunk.decode().lower())), default=0.0)
+        return sum(self.token(t) for t in TOKEN.findall(chunk.decode().lower()))
 
     def evidence(self, texts) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """For each text: summed extreme-value evidence of its significant segments (or that of the best one), and
         the segments as (first word, last word, evidence)."""
         data, offs = buffers(texts)
         distinct, codes, first = word_chunks(data, offs)
-        values = np.array([self.chunk(c) for c in distinct])
-        hits = np.flatnonzero(values[codes] > 0) if len(distinct) else np.zeros(0, int)
+        each = np.array([self.chunk(c) for c in distinct])[codes] if len(distinct) else np.zeros(0)
+        hits, total = np.flatnonzero(each > 0), np.append(0.0, np.cumsum(each))
         edge = np.searchsorted(hits, first)
         out, found = np.empty(len(offs) - 1), []
         for i in range(len(offs) - 1):
             n = int(first[i + 1] - first[i])
             base = self.log_k + np.log(max(n, 1))
-            at = hits[edge[i] : edge[i + 1]] - first[i]
+            where = hits[edge[i] : edge[i + 1]]
+            at = where - first[i]
             own: list[tuple[int, int, float]] = []
             if len(at):
-                scores = values[codes[at + first[i]]].tolist()
-                gaps = [0.0, *((np.diff(at) - 1) * self.drift).tolist()]
+                # What lies between two hits is negative throughout, so its sum is one penalty.
+                scores, gaps = each[where].tolist(), [0.0, *(total[where[:-1] + 1] - total[where[1:]]).tolist()]
                 own = [(int(at[a]), int(at[b]), self.scale * s - base) for a, b, s in maximal_segments(scores, gaps)]
             good = [e for _, _, e in own if e > 0]
             out[i] = sum(good) if good else max((e for _, _, e in own), default=-base)
@@ -105,17 +110,20 @@ def squash(evidence: np.ndarray) -> np.ndarray:
 
 
 def log_odds(y1: Counter, y0: Counter, n1: int, n0: int, least_odds: float = 1.5) -> dict[str, float]:
-    """Positive log-odds of features with a significant z-score; more texts have more features, so the bar rises with
-    their number. The prior has the pooled frequencies and weighs as much as a twentieth of the texts, so a feature
-    that is rare in both classes shrinks to none."""
+    """Signed log-odds of features. The prior has the pooled frequencies and weighs as much as a twentieth of the texts,
+    so a feature that is rare in both classes shrinks to none. More texts have more features, so the bar of the z-score
+    rises with their number. Toxic-leaning features, which open segments, need
+    ``least_odds`` and that bar; clean-leaning ones, which only weigh against them, count as they are."""
     n = n1 + n0
     out, prior, least_z = {}, min(max(n / 20, 5.0), 200.0), 1 + 0.8 * np.log10(n)
-    for f, a in y1.items():
-        b = y0.get(f, 0)
-        p = (a + b) / n
-        a1, a0 = prior * p, prior * p
-        d = np.log((a + a1) / (n1 + prior - a - a1)) - np.log((b + a0) / (n0 + prior - b - a0))
-        if a >= 3 and d > least_odds and d / np.sqrt(1 / (a + a1) + 1 / (b + a0)) >= least_z:
+    for f in y1.keys() | y0.keys():
+        a, b = y1.get(f, 0), y0.get(f, 0)
+        if max(a, b) < 3:
+            continue
+        more = prior * (a + b) / n
+        d = np.log((a + more) / (n1 + prior - a - more)) - np.log((b + more) / (n0 + prior - b - more))
+        z = d / np.sqrt(1 / (a + more) + 1 / (b + more))
+        if a >= 3 and d > least_odds and z >= least_z or d < 0:
             out[f] = float(d)
     return out
 
@@ -141,8 +149,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     data = pa.array(texts, pa.string())
     raw, offs = buffers(data)
     distinct, codes, first = word_chunks(raw, offs)
-    value = np.array([model.chunk(c) for c in distinct])[codes]
-    is_hit = value > 0
+    model.drift = 0.0  # until it is estimated, from the toxic-leaning tokens' share in and out of toxic passages
+    is_hit = np.array([model.chunk(c) for c in distinct])[codes] > 0
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     label = np.array(toxic, bool)
     clean_n = max(int((~label[doc]).sum()), 1)
@@ -155,10 +163,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             inside, total = inside + len(own), total + int(own[-1] - own[0]) + 1
     f1 = (inside + 0.5) / (total + 1) if total else 0.1
     model.drift = float(max(np.log((1 - f0) / max(1 - f1, 1e-6)), 1e-3))
-    # Lambda: the positive root of E[exp(lambda s)] = 1 over the clean tokens.
-    sc = value[is_hit & ~label[doc]]
-    weight = np.append(np.full(len(sc), 1.0 / clean_n), [0.5 / clean_n, max(1 - f0, 1e-6)])
+    # Lambda: the positive root of E[exp(lambda s)] = 1 over the clean tokens, of which one more would be toxic-leaning.
+    sc, times = np.unique(np.array([model.chunk(c) for c in distinct])[codes][~label[doc]], return_counts=True)
     sc = np.append(sc, [max(model.weights.values(), default=1.0), -model.drift])
+    weight = np.append(times, [0.5, 0.5]) / (clean_n + 1)
     low, high = 1e-4, 20.0
     for _ in range(80):
         mid = (low + high) / 2
@@ -192,12 +200,18 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, flo
     return a, float(w[1]) - a * m
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on about ``sample_rows`` labelled, not held out rows at most; that bound holds for what is broadcast and collected."""
-    own = sample(labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y")).where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)), sample_rows, "_k")
-    got = docs.select(key, text).join(F.broadcast(own), F.col(key) == F.col("_k")).select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), "y").collect()
-    got.sort(key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in got], [int(r[2] > 0) for r in got])
+def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fits, in one task of an executor, on ``sample_rows`` labelled, not held out rows of ``sample_bytes`` bytes at most.
+
+    Keys are drawn from the labels first, so that what is broadcast is bounded by ``sample_rows``; the rows that have
+    those keys, however many repeat one, are drawn from again. Both bounds are exact (see ``sample``)."""
+    told = labels.select(F.col(key).cast("string").alias("k"), (F.col(label).cast("int") > 0).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k"))
+    own = sample(told, sample_rows, 64 * sample_rows, "k", "k", "y").select(F.col("text").alias("k"), F.col("label").alias("y"))
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(own), "k")
+    rows = materialize(rows, "labelled")
+    got = fit_in_task(sample(rows, sample_rows, sample_bytes, "k", "t", "y"), lambda texts, toxic: pickle.dumps(train(texts, toxic)))
+    release(rows)
+    return pickle.loads(got) if got else train([], [])
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
