@@ -17,7 +17,7 @@ from tidemark.llm.arrow_text import buffers, ragged, spaced_chunks
 
 #: Chunks that a worker keeps, of so many bytes at most each; beyond it the cache starts anew, so memory is bounded and no
 #: chunk goes without its ids.
-CACHE, CACHE_BYTES = 200_000, 48
+CACHE, CACHE_BYTES = 600_000, 48
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"( ?)([{LETTERS}]+)([.,]?)")
 
@@ -64,7 +64,7 @@ class Encoder:
         distinct, codes, first = spaced_chunks(data, offs)
         if len(self.cache) + len(distinct) > CACHE:
             self.cache, self.pieces = {}, {}
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE // 2:
             self.pieces = {}
         cache, hard, long = self.cache, [], []
         for c in distinct:

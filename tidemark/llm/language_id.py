@@ -26,7 +26,7 @@ UND = "und"
 #: Bytes at the edges of a word that are no letters.
 EDGES = bytes(range(65)) + b"[\\]^_`{|}~\x7f"
 #: Words that a worker keeps, of so many bytes at most each.
-MEMO, MEMO_BYTES = 150_000, 48
+MEMO, MEMO_BYTES = 400_000, 48
 
 
 def word_grams(word: str, orders: tuple[int, ...]) -> list[str]:
