@@ -38,8 +38,9 @@ def trade_flow(df: DataFrame, token: str, wallet: str, side: str, usd: str) -> D
 
 def average_cost(df: DataFrame, keys: list[str], ts: str, tie: str, side: str, amount: str, usd: str) -> DataFrame:
     """Ordered average-cost fold of each key's trades: a sale takes what is held at most, at the average cost so far.
-    Closed if at least half of what was bought is sold. One array holds one key's trades."""
-    trades = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(side).alias("k"), F.col(amount).cast("double").alias("a"), F.col(usd).cast("double").alias("u"))))
+    Closed if at least half of what was bought is sold. A trade without an amount or dollars, or with none above 0, is
+    skipped. One array holds one key's trades."""
+    trades = F.sort_array(F.collect_list(F.when((F.col(amount) > 0) & (F.col(usd) > 0), F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(side).alias("k"), F.col(amount).cast("double").alias("a"), F.col(usd).cast("double").alias("u")))))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("held", "cost", "bought", "sold", "pnl")])
 
     def step(s: Column, x: Column) -> Column:
@@ -78,9 +79,12 @@ def launch_coverage(cuts: DataFrame, stream: str, order: str, oldest: str, newes
     return out.select(stream, F.explode("r").alias("x")).select(stream, F.col("x.o").alias(order), "x.state", F.col("x.edge").alias("boundary"))
 
 
-def family_lane(births: DataFrame, econ: DataFrame, veto: list[str] | None = None) -> DataFrame:
+def family_lane(births: DataFrame, econ: DataFrame, veto: list[str] | None = None, as_of=None, hours: int = 48) -> DataFrame:
     """Families of births by shared token: counts, fees, leader and lane state; births need (mint, name, symbol,
-    created_at, identity, external, backfill, tokens), econ (mint, observed_at, fee)."""
+    created_at, identity, external, backfill, tokens), econ (mint, observed_at, fee). With ``as_of`` only births of the
+    ``hours`` before it count."""
+    if as_of is not None:
+        births = births.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"INTERVAL {hours} HOURS"))
     fees = latest_per_key(econ.where(F.col("fee").isNotNull()), "mint", [F.col("observed_at"), F.col("fee")], ["fee"])
     each = births.join(fees, "mint", "left").withColumn("family_key", F.explode("tokens")).withColumn("f", F.coalesce("fee", F.lit(0.0)))
     agg = each.groupBy("family_key").agg(

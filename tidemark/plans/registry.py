@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import consensus as C
+from tidemark.operators import evidence as E
 from tidemark.operators import relational as R
 from tidemark.shared import new_folder
 from tidemark.streaming import capture as S
@@ -89,12 +90,13 @@ def trade_flow(spark, d):
 
 @query()
 def token_pnl(spark, d):
-    return R.average_cost(trades(spark, d).withColumn("amount", F.lit(1.0)), ["wallet", "token"], "ts", "event_id", "side", "amount", "usd")
+    return R.average_cost(trades(spark, d).withColumn("amount", F.lit(1.0)), ["wallet", "token"], "ts", "event_id", "side", "amount", "usd").withColumn("pnl", F.round("pnl", 6))
 
 
 @query()
 def wallet_scores(spark, d):
-    return R.wallet_scores(token_pnl(spark, d), "wallet")
+    out = R.wallet_scores(token_pnl(spark, d), "wallet")
+    return out.withColumns({c: F.round(c, 6) for c in ("profit_factor", "top_share")})
 
 
 @query("SELECT event_type, median(value) AS med, quantile_disc(value, 0.9) AS p90, max(value) AS top, avg(CAST(value <= 10 AS DOUBLE)) AS recall_10 FROM events GROUP BY 1")
@@ -146,9 +148,9 @@ def checkpoint_delta(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", (F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("delta"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def new_rows_only(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return t(spark, d, "customer").join(t(spark, d, "orders").where(F.col("o_totalprice") > 450000), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
@@ -157,9 +159,9 @@ def prior_qualified(spark, d):
     return t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 6 AS lane FROM events")
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 6 AS lane FROM events")
 def round_robin(spark, d):
-    return t(spark, d, "events").select("event_id", F.pmod(F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(6)).cast("long").alias("lane"))
+    return E.round_robin(t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 6).select("event_id", F.col("lane").cast("long").alias("lane"))
 
 
 @query("SELECT l_partkey, greatest(l_quantity, 0) / nullif(sum(greatest(l_quantity, 0)) OVER (PARTITION BY l_partkey), 0) AS share, l_orderkey, l_linenumber FROM lineitem")
