@@ -2,8 +2,9 @@
 
 Lines are normalised and hashed; a line that too many distinct documents of one host carry is boilerplate there and is
 removed; a document that loses too many of its words this way is depleted and rejected. With ``copies_once`` exact copies
-of a text count as one document, so that they do not condemn each other before a later stage removes them; near copies
-count each, and a large group of them in one host can be rejected whole (see the README).
+of a text count as one document, so that they do not condemn each other before a later stage removes them. Near copies
+count each; with ``first_stays`` the first document of a host with a frequent line isn't depleted by it, so that one of a
+group whose members condemn each other stays.
 """
 
 from __future__ import annotations
@@ -66,44 +67,59 @@ def line_limit(texts: Column, max_share: float, min_docs: int) -> Column:
     return F.greatest(F.lit(LEAST_DOCS), F.least(F.greatest(texts * max_share, F.lit(min_docs)), texts * SMALL_SHARE, F.lit(MAX_DOCS)))
 
 
+def identity(text: str, key: str | None) -> Column:
+    """Hash by which documents are told apart."""
+    return F.xxhash64(F.col(text)) if key is None else F.xxhash64(F.col(key), F.col(text))
+
+
 def frequent_lines(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, host: str = "source", text: str = "text", key: str | None = None) -> DataFrame:
-    """(host, bad): sorted hashes of the lines that more than ``line_limit`` of the host's documents contain.
+    """(host, bad, firsts): sorted hashes of the lines that more than ``line_limit`` of the host's documents contain, and in
+    the same order a hash of each line with its first document, that of the smallest hash (``identity``).
 
     Documents are told apart by ``key`` and text, or by the text alone without a key, so that exact copies count once. A
     null host is a host of its own; null texts have no lines; repeated rows are one document."""
-    same = F.xxhash64(F.col(text)) if key is None else F.xxhash64(F.col(key), F.col(text))
-    each = docs.select(F.col(host).cast("string").alias("host"), same.alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
+    each = docs.select(F.col(host).cast("string").alias("host"), identity(text, key).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
     totals = each.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts")).withColumnRenamed("host", "h")
     keys = F.array_distinct(F.transform(F.filter(lines(F.col("x")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_key))
     # distinct() first merges copies within each task; the second count then merges (host, line) before its shuffle.
-    freq = each.select("host", "t", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull()).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
+    freq = each.select("host", "t", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull()).distinct().groupBy("host", "line").agg(F.count("*").alias("n"), F.min("t").alias("t")).where(F.col("n") > LEAST_DOCS)
     bad = freq.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_limit(F.col("texts"), max_share, min_docs))
-    return bad.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("bad"))
+    pairs = F.sort_array(F.collect_list(F.struct("line", F.xxhash64("line", "t").alias("first"))))
+    return bad.groupBy("host").agg(pairs.alias("pairs")).select("host", F.col("pairs.line").alias("bad"), F.col("pairs.first").alias("firsts"))
 
 
 def _judged(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """``rows`` (x text, host, further columns) with ``left``, the text without its host's frequent lines.
+    """``rows`` (x text, t identity, host, further columns) with ``left``, the text without its host's frequent lines, and
+    ``spared``, the text without those of them that the document isn't the first to carry.
 
     The lists are broadcast once they are known to be small. Beyond that only (document, place, line) hashes of the lines
     are shuffled, by host and line, where Spark splits the hot ones; then each document meets its own list of places."""
-    bad = materialize(bad.select(F.col("host").alias("bad_host"), "bad"), "frequent-lines")
+    bad = materialize(bad.select(F.col("host").alias("bad_host"), "bad", "firsts"), "frequent-lines")
     n = bad.agg(F.sum(F.size("bad") + 1)).first()[0] or 0
     own = lines(F.col("x"))
     if n <= BROADCAST_LINES:
         # Parts of about eight hashes, chosen by the hash, so that a line isn't compared with the whole list.
         parts = F.greatest(F.lit(1), F.floor(F.size("bad") / 8)).cast("int")
-        bad = bad.select("bad_host", F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.filter("bad", lambda x: F.pmod(x, parts) == i)).alias("bad"))
+        part = lambda i: F.filter(F.arrays_zip("bad", "firsts"), lambda s: F.pmod(s["bad"], parts) == i)
+        bad = bad.select("bad_host", F.transform(F.sequence(F.lit(0), parts - 1), part).alias("zipped"))
+        bad = bad.select("bad_host", F.transform("zipped", lambda z: z["bad"]).alias("bad"), F.transform("zipped", lambda z: z["firsts"]).alias("firsts"))
         rows = rows.join(F.broadcast(bad), F.col("host").eqNullSafe(F.col("bad_host")), "left")
         keyed = F.transform(own, lambda x: F.struct(x.alias("x"), line_key(x).alias("k")))
-        kept = F.filter(keyed, lambda s: ~F.array_contains(F.element_at("bad", (F.pmod(s["k"], F.size("bad")) + 1).cast("int")), s["k"]))["x"]
+        at = lambda lists, k: F.element_at(lists, (F.pmod(k, F.size("bad")) + 1).cast("int"))
+        kept = F.filter(keyed, lambda s: ~F.array_contains(at("bad", s["k"]), s["k"]))["x"]
+        spared = F.filter(keyed, lambda s: ~F.array_contains(at("bad", s["k"]), s["k"]) | F.array_contains(at("firsts", s["k"]), F.xxhash64(s["k"], F.col("t"))))["x"]
     else:
-        same = [F.xxhash64("host", "x").alias("d1"), F.xxhash64("x", "host", F.lit(7)).alias("d2")]
-        each = rows.where(F.col("x").isNotNull()).select("host", *same, F.transform(own, line_key).alias("line")).select("host", "d1", "d2", F.posexplode("line").alias("at", "line"))
-        bad = bad.select(F.col("bad_host"), F.explode("bad").alias("bad_line"))
-        at = each.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line"))).groupBy("d1", "d2").agg(F.collect_set("at").alias("bad"))
-        rows = rows.withColumns({"d1": same[0], "d2": same[1]}).join(at, ["d1", "d2"], "left")
+        same = [F.xxhash64("host", "t", "x").alias("d1"), F.xxhash64("x", "host", "t", F.lit(7)).alias("d2")]
+        each = rows.where(F.col("x").isNotNull()).select("host", "t", *same, F.transform(own, line_key).alias("line")).select("host", "t", "d1", "d2", F.posexplode("line").alias("at", "line"))
+        bad = bad.select(F.col("bad_host"), F.explode(F.arrays_zip("bad", "firsts")).alias("b")).select("bad_host", F.col("b.bad").alias("bad_line"), F.col("b.firsts").alias("first"))
+        met = each.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")))
+        later = F.when(F.col("first") != F.xxhash64("line", "t"), F.col("at"))
+        places = met.groupBy("d1", "d2").agg(F.collect_set("at").alias("bad"), F.collect_set(later).alias("later"))
+        rows = rows.withColumns({"d1": same[0], "d2": same[1]}).join(places, ["d1", "d2"], "left")
         kept = F.filter(own, lambda x, i: ~F.array_contains("bad", i))
-    return rows.withColumn("left", F.when(F.col("bad").isNotNull() & F.col("x").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("x")))
+        spared = F.filter(own, lambda x, i: ~F.array_contains("later", i))
+    touched = F.col("bad").isNotNull() & F.col("x").isNotNull()
+    return rows.withColumns({"left": F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("x")), "spared": F.when(touched, F.array_join(spared, "\n")).otherwise(F.col("x"))})
 
 
 def judge_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, key: str = "doc_id", text: str = "text", host: str = "source", copies_once: bool = True) -> DataFrame:
@@ -113,7 +129,7 @@ def judge_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20
     texts have no words, so base_failed holds; a null host is a host of its own; repeated rows are judged alike; null keys
     and long texts need no care; ties do not arise. An empty table gives no rows. Further columns of ``docs`` are ignored.
     """
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("x"), F.col(host).cast("string").alias("host"))
+    base = docs.select(F.col(key).alias("key"), F.col(text).alias("x"), F.col(host).cast("string").alias("host"), identity(text, None if copies_once else key).alias("t"))
     out = _judged(base, frequent_lines(base, max_share, min_docs, "host", "x", None if copies_once else "key"))
     whole = F.coalesce(F.col("x"), F.lit(""))
     out = out.select("key", "left", whole.alias("x"), words(whole).alias("w"))
@@ -128,15 +144,19 @@ def judge_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left * F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, text: str = "text", host: str = "source", copies_once: bool = True, key: str = "doc_id") -> DataFrame:
+def clean_documents(docs: DataFrame, max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5, text: str = "text", host: str = "source", copies_once: bool = True, key: str = "doc_id", first_stays: bool = True) -> DataFrame:
     """``docs``, with its own columns whatever their names, without rejected documents and with frequent lines removed from
-    the others. Null, empty and short texts are rejected, repeated rows are judged alike, a null host is a host of its
+    the others. With ``first_stays`` a document that those removals deplete stays if it has ``min_left`` of its words once the
+    lines that it is the host's first to carry count as its own, and it keeps these. Null, empty and short texts are rejected, repeated rows are judged alike, a null host is a host of its
     own, null keys need no care; whole texts of any length are read; an empty table gives no rows."""
-    rows = _whole(docs, x=F.col(text), host=F.col(host).cast("string"))
+    rows = _whole(docs, x=F.col(text), host=F.col(host).cast("string"), t=identity(text, None if copies_once else key))
     out = _judged(rows, frequent_lines(docs, max_share, min_docs, host, text, None if copies_once else key))
     out = with_repeat_words(out.withColumn("w", words(F.coalesce("x", F.lit("")))), "w", "rep")
     n = F.size("w")
-    good = (n >= 50) & (100 * F.col("rep") <= 50 * n) & (F.size(words(F.coalesce("left", F.lit("")))) >= min_left * n)
+    enough = lambda c: F.size(words(F.coalesce(c, F.lit("")))) >= min_left * n
+    if first_stays:
+        out = out.withColumn("left", F.when(enough("left"), F.col("left")).otherwise(F.col("spared")))
+    good = (n >= 50) & (100 * F.col("rep") <= 50 * n) & enough("left")
     # As a generated column the verdict stays where it is: a filter that moves below would put whole word lists into lambdas.
     out = out.withColumn("good", F.explode(F.array(good))).where("good")
     return out.select(*[(F.col("left") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
