@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bit_packing, decontamination, html_extraction, jaccard_join, language_id, line_frequency, packing, sharding, toxicity, warc
+from tidemark.llm import bit_packing, decontamination, hard_negatives, html_extraction, jaccard_join, language_id, lexical_search, line_frequency, packing, piece_encoding, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,22 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49408)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, positives=5, negatives=5, percent=80)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_encoding.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    digest = lambda x: F.sha2(F.encode(x, "utf-8"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -76,10 +93,15 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_bit_packing": op10_bit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(decontamination.WORD)} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS.format(decontamination.WORD)} AS w FROM benchmark),
@@ -106,4 +128,18 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT s.doc_id, len(g) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, len(g)""",
     "op9_warc": """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
+    "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT * FROM n WHERE rank <= 5""",
+    "op13_lexical_search": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(_TERM)} AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY rid, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT k, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS k, item_id, {_WORDS.format(_TERM)} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+s AS (SELECT k, item_id, rid, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * docs) // total)))) AS BIGINT) AS score, any_value(doc_id) AS doc_id
+ FROM q JOIN tf USING (t) JOIN df USING (t) JOIN d USING (rid), c GROUP BY k, item_id, rid)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 10""",
 }
