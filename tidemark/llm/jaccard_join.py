@@ -202,6 +202,26 @@ def stand_in(key: Column, text: Column) -> Column:
     return F.coalesce(key.cast("long"), F.shiftrightunsigned(F.xxhash64(text, F.lit("null key")), 2).bitwiseOR(F.lit(1 << 62)))
 
 
+def _apart(docs: DataFrame, repeated: DataFrame, n: int, percent: int, broadcast_ids: int, key: str, text: str) -> DataFrame:
+    """``_classes`` where keys repeat over different texts: each text of such a key is a document of its own, with a number
+    of 2^62 and more, while links are sought; then the classes that share a key are tied together."""
+    keys = materialize(repeated, "repeated-keys")
+    told = F.broadcast(keys) if keys.count() <= broadcast_ids else keys
+    own = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 2).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(told.withColumn("again", F.lit(True)), "doc", "left")
+    rows = rows.select(F.when(F.col("again"), own).otherwise(F.col("doc")).alias("id"), "doc", "again", "text")
+    found = materialize(_classes(rows.select("id", "text"), n, percent, broadcast_ids, "id", "text"), "apart")
+    names = rows.where("again").select("id", F.col("doc").alias("name")).distinct()
+    found = found.withColumnRenamed("doc", "id").join(names, "id", "left").select(F.coalesce("name", "id").alias("doc"), F.col("name").isNotNull().alias("again"), "n", "component")
+    found = materialize(found, "named")
+    tied = found.where("again AND n > 0").select("doc", "component").distinct()
+    tied = tied.join(tied.groupBy("doc").agg(F.min("component").alias("least")), "doc").select(F.col("component").alias("a"), F.col("least").alias("b"))
+    merged = connected_components(tied).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    found = found.join(merged, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    least = found.where("n > 0").groupBy("whole").agg(F.min("doc").alias("least"))
+    return found.join(least, "whole", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component"))
+
+
 def _classes(docs: DataFrame, n: int, percent: int, broadcast_ids: int, key: str, text: str) -> DataFrame:
     """(doc, n, component) for every row of ``docs``; ``key`` is a long without nulls."""
     told = docs.sparkSession.sparkContext.broadcast(tuple(token_order(docs, n, text)))
@@ -221,6 +241,9 @@ def _classes(docs: DataFrame, n: int, percent: int, broadcast_ids: int, key: str
     signed = materialize(docs.select(key, text).mapInArrow(run, "doc long, n long, print binary, keys array<long>, fresh int, combos array<long>"), "signed")
     told.unpersist()
     slim = signed.select("doc", "n", "print")
+    repeated = slim.where(F.col("n") > 0).groupBy("doc").agg(F.min("print").alias("p"), F.max("print").alias("q")).where(F.col("p") != F.col("q")).select("doc")
+    if repeated.limit(1).count():
+        return _apart(docs, repeated, n, percent, broadcast_ids, key, text)
     first = materialize(slim.where(F.col("n") > 0).groupBy("print").agg(F.min("doc").alias("doc")), "prints")
     # One posting entry per distinct set: its first row.
     entries = materialize(signed.where(F.col("n") > 1).join(first.select("print", "doc"), ["print", "doc"], "left_semi").dropDuplicates(["print", "doc"]).drop("print"), "entries")
@@ -254,11 +277,7 @@ def _classes(docs: DataFrame, n: int, percent: int, broadcast_ids: int, key: str
     able = shared.where(F.col("rare") + often >= overlap - least + K).select("a", "b")
     cross = able.join(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verify(materialize(cross, "cross"), docs, n, percent, broadcast_ids, key, text)
-    # Rows that repeat a key but not its text tie their sets together.
-    repeated = slim.where(F.col("n") > 0).groupBy("doc", "print").agg(F.lit(1).alias("one")).join(first.withColumnRenamed("doc", "first"), "print").where(F.col("doc") != F.col("first")).select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    twice = slim.where(F.col("n") > 0).groupBy("doc").agg(F.countDistinct("print").alias("prints")).where(F.col("prints") > 1).select(F.col("doc").alias("a"))
-    every = links.unionByName(more).unionByName(repeated.join(twice, "a", "left_semi"))
-    final = connected_components(every).withColumnRenamed("node", "doc")
+    final = connected_components(links.unionByName(more)).withColumnRenamed("node", "doc")
     classes = first.join(final, "doc", "left").select("print", F.coalesce("component", "doc").alias("component"))
     out = slim.join(classes, "print", "left")
     return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))

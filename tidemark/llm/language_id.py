@@ -8,9 +8,11 @@ frequencies are relative, so a text's logits are a weighted mean over its words:
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ LETTERS = regex.compile(r"\p{L}+")
 UND = "und"
 #: Bytes at the edges of a word that are no letters.
 EDGES = bytes(range(65)) + b"[\\]^_`{|}~\x7f"
-#: Words that a worker keeps, of so many bytes at most each.
-MEMO, MEMO_BYTES = 400_000, 48
+#: Words that a worker keeps, of so many bytes at most each, and numbers that it keeps for them and for one slice of texts.
+MEMO, MEMO_BYTES, MEMO_VALUES = 400_000, 48, 4_000_000
+#: Words whose n-grams training remembers, about.
+WORDS = 60_000
 
 
 def word_grams(word: str, orders: tuple[int, ...]) -> list[str]:
@@ -48,6 +52,11 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "values": None}
 
+    @property
+    def slice_bytes(self) -> int:
+        """Bytes of text that are scored at once: their distinct words need a number for each language."""
+        return min(8 << 20, 16 * MEMO_VALUES // (len(self.langs) + 1))
+
     def word(self, word: str) -> np.ndarray:
         """Summed weights of a word's n-grams for each language, and how many n-grams there are."""
         grams = word_grams(word, self.orders)
@@ -57,7 +66,7 @@ class Model:
     def words(self, distinct: list[bytes]) -> np.ndarray:
         """``word`` of each chunk; short ones are remembered, long ones are scored anew."""
         if self.values is None or len(self.memo) + len(distinct) > len(self.values):
-            self.memo, self.values = {}, np.empty((max(MEMO, 2 * len(distinct)), len(self.langs) + 1))
+            self.memo, self.values = {}, np.empty((max(min(MEMO, MEMO_VALUES // (len(self.langs) + 1)), 2 * len(distinct)), len(self.langs) + 1))
         memo, values, long = self.memo, self.values, []
         at = np.empty(len(distinct), np.int64)
         for k, w in enumerate(distinct):
@@ -136,56 +145,67 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def count_grams(texts: list[str], orders: tuple[int, ...]) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
-    """Numbers of all n-grams, and for each text the numbers of its n-grams with their counts.
+class Counts(NamedTuple):
+    """Numbers of all n-grams; text i has the n-grams ``ids[first[i]:first[i + 1]]``, so many times each."""
+
+    number: dict[str, int]
+    ids: np.ndarray
+    times: np.ndarray
+    first: np.ndarray
 
-    Texts are counted one by one into integer arrays, so memory follows the n-grams, not Python objects per occurrence."""
+
+def count_grams(texts: list[str], orders: tuple[int, ...]) -> Counts:
+    """Texts are counted one by one into flat integer arrays, so besides the n-grams and WORDS remembered words no Python
+    object outlives its text."""
     number: dict[str, int] = {}
     memo: dict[str, np.ndarray] = {}
-    out = []
+    ids, times, first = array("i"), array("i"), array("q", [0])
     for text in texts:
         words = Counter(text.split())
-        if len(memo) + len(words) > MEMO:
+        if len(memo) > WORDS:
             memo.clear()
-        parts, times = [], []
-        for w, m in words.items():
-            if (ids := memo.get(w)) is None:
-                ids = np.array([number.setdefault(g, len(number)) for g in word_grams(w, orders)], np.int32)
+        parts = []
+        for w in words:
+            if (own := memo.get(w)) is None:
+                own = np.array([number.setdefault(g, len(number)) for g in word_grams(w, orders)], np.int32)
                 if len(w) <= MEMO_BYTES:
-                    memo[w] = ids
-            parts.append(ids)
-            times.append(m)
+                    memo[w] = own
+            parts.append(own)
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        ids, where = np.unique(flat, return_inverse=True)
-        out.append((ids, np.bincount(where, np.repeat(times, [len(p) for p in parts]), len(ids)).astype(np.float32)))
-    return number, out
+        own, where = np.unique(flat, return_inverse=True)
+        often = np.bincount(where, np.repeat(list(words.values()), [len(p) for p in parts]), len(own)) if len(own) else own
+        ids.frombytes(own.astype(np.int32).tobytes())
+        times.frombytes(often.astype(np.int32).tobytes())
+        first.append(len(ids))
+    return Counts(number, *(np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (ids, times)), np.frombuffer(first, np.int64))
 
 
 def train(texts: list[str], langs: list[str], orders: tuple[int, ...] = (1, 2, 3), features: int = 20_000, min_docs: int = 2) -> Model:
     """Fits the model. Every fifth text serves calibration only. The ``features`` n-grams of the most documents are used.
     A language needs one text; with a single language all scores are 1."""
     names = sorted(set(langs))
-    number, counts = count_grams(texts, orders)
-    keep = [i for i, (ids, _) in enumerate(counts) if len(ids)]
-    df = np.zeros(len(number), np.int64)
-    for i in keep:
-        df[counts[i][0]] += 1
-    grams = list(number)
+    counts = count_grams(texts, orders)
+    keep = np.flatnonzero(np.diff(counts.first)).tolist()
+    grams = list(counts.number)
+    df = np.bincount(counts.ids, minlength=len(grams))  # a text holds a number once
     least = min_docs if len(keep) > 50 else 1
-    vocab = sorted(grams[i] for i in sorted(np.flatnonzero(df >= least).tolist(), key=lambda i: (-df[i], grams[i]))[:features])
-    place = np.full(len(number), -1, np.int32)
-    place[[number[g] for g in vocab]] = np.arange(len(vocab))
-    idf = np.log((1 + len(keep)) / (1 + df[[number[g] for g in vocab]])) + 1 if vocab else np.zeros(0)
+    chosen = sorted(np.flatnonzero(df >= least).tolist(), key=lambda i: (-df[i], grams[i]))[:features]
+    chosen.sort(key=lambda i: grams[i])
+    vocab = [grams[i] for i in chosen]
+    place = np.full(len(grams), -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    idf = np.log((1 + len(keep)) / (1 + df[chosen])) + 1 if vocab else np.zeros(0)
     scale = 30.0  # relative frequencies are small; this only sets the unit of the weights
-    del grams, number, df
+    counts.number.clear()
+    del grams, df, chosen
 
     x = []
     for i in keep:
-        ids, n = counts[i]
+        ids, n = (c[counts.first[i] : counts.first[i + 1]] for c in (counts.ids, counts.times))
         own = place[ids]
         order = np.argsort(own[own >= 0], kind="stable")
-        own, v = own[own >= 0][order].astype(np.int64), (n[own >= 0] / max(n.sum(), 1))[order]
-        x.append((np.append(own, len(vocab)), np.append(v * idf[own] * scale, 1.0)))
+        own, v = own[own >= 0][order], (n[own >= 0] / max(n.sum(), 1))[order]
+        x.append((np.append(own, np.int32(len(vocab))), np.append(v * idf[own] * scale, 1.0)))
     del counts
     y = np.array([names.index(langs[i]) for i in keep], np.int64)
     fit = [j for j in range(len(x)) if j % 5 or len(x) < 10]
@@ -218,7 +238,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, model.slice_bytes if model else 8 << 20):
                 langs, score = model.predict(piece.column(1)) if model else ([UND] * piece.num_rows, np.zeros(piece.num_rows))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
@@ -234,7 +254,7 @@ def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, model.slice_bytes if model else 8 << 20):
                 langs, score = model.predict(piece.column(at)) if model else ([UND] * piece.num_rows, np.zeros(piece.num_rows))
                 yield piece.filter(pa.array([x != UND and s >= min_score for x, s in zip(langs, score, strict=True)], pa.bool_()))
 
