@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.ordered import ordered_fold
 from tidemark.shared import materialize
 
 
@@ -36,22 +37,25 @@ def trade_flow(df: DataFrame, token: str, wallet: str, side: str, usd: str) -> D
     return each.groupBy(token).agg(F.count("b").alias("buyers"), F.count("s").alias("sellers"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("buy_usd"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("sell_usd"), F.try_divide(F.max("b"), F.sum("b")).alias("max_buyer_share"))
 
 
+def _cost_step(state: tuple, row: tuple) -> tuple[tuple, None]:
+    held, cost, bought, sold, pnl = state
+    side, amount, usd = row
+    if side == "buy":
+        return (held + amount, cost + usd, bought + amount, sold, pnl), None
+    take = min(amount, held)
+    basis = cost * take / held if held > 0 else 0.0
+    return (held - take, cost - basis, bought, sold + take, pnl + usd * take / amount - basis), None
+
+
 def average_cost(df: DataFrame, keys: list[str], ts: str, tie: str, side: str, amount: str, usd: str) -> DataFrame:
     """Ordered average-cost fold of each key's trades: a sale takes what is held at most, at the average cost so far.
     Closed if at least half of what was bought is sold. A trade without an amount or dollars, or with none above 0, is
-    skipped. One array holds one key's trades."""
-    trades = F.sort_array(F.collect_list(F.when((F.col(amount) > 0) & (F.col(usd) > 0), F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(side).alias("k"), F.col(amount).cast("double").alias("a"), F.col(usd).cast("double").alias("u")))))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("held", "cost", "bought", "sold", "pnl")])
-
-    def step(s: Column, x: Column) -> Column:
-        take = F.least(x["a"], s["held"])
-        basis, part = F.when(s["held"] > 0, s["cost"] * take / s["held"]).otherwise(0.0), F.when(x["a"] > 0, x["u"] * take / x["a"]).otherwise(0.0)
-        buy = x["k"] == "buy"
-        values = {"held": (s["held"] + x["a"], s["held"] - take), "cost": (s["cost"] + x["u"], s["cost"] - basis), "bought": (s["bought"] + x["a"], s["bought"]), "sold": (s["sold"], s["sold"] + take), "pnl": (s["pnl"], s["pnl"] + part - basis)}
-        return F.struct(*[F.when(buy, a).otherwise(b).alias(c) for c, (a, b) in values.items()])
-
-    out = df.groupBy(*keys).agg(F.aggregate(trades, zero, step).alias("r"))
-    return out.select(*keys, "r.bought", "r.sold", "r.pnl", (F.coalesce(F.try_divide(F.col("r.sold"), F.col("r.bought")), F.lit(0.0)) >= 0.5).alias("closed"))
+    skipped, and a key without any other has zeros. A task holds one trade and one key's five sums."""
+    able = F.coalesce((F.col(amount) > 0) & (F.col(usd) > 0), F.lit(False))
+    rows = df.select(*keys, F.col(ts).alias("_t"), F.col(tie).alias("_i"), F.when(able, F.col(side)).alias("_k"), F.col(amount).cast("double").alias("_a"), F.col(usd).cast("double").alias("_u"))
+    step = lambda s, x: _cost_step(s, x) if x[0] is not None else (s, None)
+    out = ordered_fold(rows, keys, ["_t", "_i"], ["_k", "_a", "_u"], "bought double, sold double, pnl double", lambda: (0.0,) * 5, step, lambda s: s[2:])
+    return out.withColumn("closed", F.coalesce(F.try_divide("sold", "bought"), F.lit(0.0)) >= 0.5)
 
 
 def wallet_scores(ledger: DataFrame, wallet: str) -> DataFrame:
@@ -64,19 +68,28 @@ def wallet_scores(ledger: DataFrame, wallet: str) -> DataFrame:
     )
 
 
-def launch_coverage(cuts: DataFrame, stream: str, order: str, oldest: str, newest: str, error: str) -> DataFrame:
-    """State of each cut: SOURCE_ERROR, BASELINE_ONLY, COMPLETE_INTERVAL if the boundary lies in it, else GAP. Only a
-    baseline or a complete cut moves the boundary to its newest entry. A fold over one stream's cuts."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(oldest).alias("a"), F.col(newest).alias("b"), F.col(error).alias("e"))))
-    start = F.struct(F.lit(None).cast("long").alias("edge"), F.array().cast("array<struct<o:bigint,state:string,edge:bigint>>").alias("out"))
+def launch_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """State: the boundary and the last cut; row: (cut, oldest, newest, error). A cut that isn't after the last one is LATE_CUT."""
+    edge, last = state
+    cut, oldest, newest, error = row
+    if last is not None and cut <= last:
+        return state, (cut, "LATE_CUT", edge)
+    if error or oldest is None or newest is None:
+        name = "SOURCE_ERROR"
+    elif edge is None:
+        name, edge = "BASELINE_ONLY", newest
+    elif oldest <= edge <= newest:
+        name, edge = "COMPLETE_INTERVAL", newest
+    else:
+        name = "GAP"
+    return (edge, cut), (cut, name, edge)
 
-    def step(s: Column, x: Column) -> Column:
-        state = F.when(x["e"], "SOURCE_ERROR").when(s["edge"].isNull(), "BASELINE_ONLY").when((x["a"] <= s["edge"]) & (s["edge"] <= x["b"]), "COMPLETE_INTERVAL").otherwise("GAP")
-        edge = F.when(state.isin("BASELINE_ONLY", "COMPLETE_INTERVAL"), x["b"]).otherwise(s["edge"])
-        return F.struct(edge.alias("edge"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), state.alias("state"), edge.alias("edge")))).alias("out"))
 
-    out = cuts.groupBy(stream).agg(F.aggregate(rows, start, step, lambda s: s["out"]).alias("r"))
-    return out.select(stream, F.explode("r").alias("x")).select(stream, F.col("x.o").alias(order), "x.state", F.col("x.edge").alias("boundary"))
+def launch_coverage(cuts: DataFrame, stream: str, order: str, oldest: str, newest: str, error: str) -> DataFrame:
+    """State of each cut: SOURCE_ERROR (also without entries), BASELINE_ONLY, COMPLETE_INTERVAL if the boundary lies in it, else
+    GAP. Only a baseline or a complete cut moves the boundary to its newest entry. A fold over one stream's cuts, a cut at a time."""
+    rows = cuts.select(stream, F.col(order).cast("long").alias("_o"), F.col(oldest).cast("long").alias("_a"), F.col(newest).cast("long").alias("_b"), F.coalesce(F.col(error), F.lit(False)).alias("_e"))
+    return ordered_fold(rows, [stream], ["_o"], ["_o", "_a", "_b", "_e"], f"`{order}` long, state string, boundary long", lambda: (None, None), launch_step)
 
 
 def family_lane(births: DataFrame, econ: DataFrame, veto: list[str] | None = None, as_of=None, hours: int = 48) -> DataFrame:
@@ -87,11 +100,14 @@ def family_lane(births: DataFrame, econ: DataFrame, veto: list[str] | None = Non
         births = births.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"INTERVAL {hours} HOURS"))
     fees = latest_per_key(econ.where(F.col("fee").isNotNull()), "mint", [F.col("observed_at"), F.col("fee")], ["fee"])
     each = births.join(fees, "mint", "left").withColumn("family_key", F.explode("tokens")).withColumn("f", F.coalesce("fee", F.lit(0.0)))
+    # The group limit leaves two rows of a family in each task before the shuffle, however large the family.
+    two = each.select("family_key", "f", "mint").withColumn("nth", F.row_number().over(Window.partitionBy("family_key").orderBy(F.desc("f"), "mint"))).where(F.col("nth") <= 2)
+    second = two.where(F.col("nth") == 2).select("family_key", F.col("f").alias("second_fee"))
     agg = each.groupBy("family_key").agg(
         F.count("*").alias("births"), F.countDistinct(F.lower("name")).alias("unique_names"), F.countDistinct(F.lower("symbol")).alias("unique_symbols"), F.count_if("identity").alias("identity_n"), F.count_if("external").alias("external_n"),
-        F.max("f").alias("leader_fee"), F.try_element_at(F.sort_array(F.collect_list("f"), False), F.lit(2)).alias("second_fee"), F.sum("f").alias("total_fee"), F.count_if(F.col("f") >= 5000).alias("n5"), F.count_if(F.col("fee") < 1000).alias("nlt1"),
+        F.max("f").alias("leader_fee"), F.sum("f").alias("total_fee"), F.count_if(F.col("f") >= 5000).alias("n5"), F.count_if(F.col("fee") < 1000).alias("nlt1"),
         F.max_by("mint", F.struct(F.col("f"), -F.unix_micros("created_at"), -F.col("mint"))).alias("leader_mint"), F.bool_or("backfill").alias("backfill_contaminated"),
-    ).where(F.col("births") >= 3)
+    ).where(F.col("births") >= 3).join(second, "family_key", "left")
     names, ident = F.col("unique_names") / F.col("births"), F.col("identity_n") / F.col("births")
     state = (
         F.when(F.col("family_key").isin(veto or []), "VETO")
