@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators.ordered import ordered_fold
-from tidemark.shared import materialize
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column], cols: list[str]) -> DataFrame:
@@ -130,49 +127,3 @@ def interval_token_join(events: DataFrame, pools: DataFrame, hours: int = 48, le
     both = by_token.unionByName(by_phrase).where((F.col("created") - F.col("published")).between(0, hours * 3_600_000_000))
     score = X.match_score(F.col("e_phrase"), F.col("p_phrase"), F.col("e_tokens"), F.col("p_tokens"))
     return both.withColumn("score", score).where(F.col("score") >= least).groupBy("event_id", "pool_id").agg(F.max("score").alias("score"))
-
-
-def near_fingerprints(docs: DataFrame, key: str, text: str, most: int = 6, n_bands: int = 8) -> DataFrame:
-    """(kind, a, b, distance): every document with its representative, and all near pairs of representatives.
-
-    ``copy``: document b has the same set of tokens as a, the smallest id of that set (its own for a representative); the
-    distance is 0, or null without tokens. ``near``: a < b represent different sets that share a token, with fingerprints
-    of all tokens up to ``most`` bits apart. What holds for representatives holds for their documents, so no pair is lost.
-
-    At most ``most`` of the bands differ, so two fingerprints agree in ``n_bands - most`` of them (pigeonhole): distinct
-    fingerprints meet on each such choice of bands, and a pair counts at the first choice in which it agrees.
-    """
-    full = docs.select(F.col(key).alias("id"), X.tokens(F.col(text), None).alias("words"))
-    ends = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 4)
-    base = full.select("id", F.when(F.size("words") > 0, F.sha2(F.array_join(F.array_sort("words"), " "), 256)).alias("own"), ends.alias("ends"), X.simhash(F.col("words")).alias("fp"))
-    base = materialize(base, "fingerprints")
-    sets = materialize(base.where(F.col("own").isNotNull()).groupBy("own").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("ends").alias("ends")), "token-sets")
-    rep = sets.select("own", F.col("id").alias("a"))
-    copies = base.join(rep, "own", "left").select(F.lit("copy").alias("kind"), F.coalesce("a", "id").alias("a"), F.col("id").alias("b"), F.when(F.col("own").isNotNull(), 0).alias("distance"))
-
-    choices = list(combinations(range(n_bands), n_bands - most))
-    part = X.bands(F.col("fp"), n_bands)
-    keys = F.array(*[F.concat_ws(".", F.lit(str(k)), *[part[i] for i in c]) for k, c in enumerate(choices)])
-    banded = sets.select("fp").distinct().select("fp", F.posexplode(keys).alias("at", "band"))
-    x, y = banded.select("band", "at", F.col("fp").alias("fa")), banded.select("band", F.col("fp").alias("fb"))
-    pa, pb = X.bands(F.col("fa"), n_bands), X.bands(F.col("fb"), n_bands)
-    first = F.lit(None).cast("int")
-    for k, c in reversed(list(enumerate(choices))):
-        agree = F.lit(True)
-        for i in c:
-            agree = agree & (pa[i] == pb[i])
-        first = F.when(agree, k).otherwise(first)
-    close = x.join(y, "band").where((F.col("fa") < F.col("fb")) & (X.hamming(F.col("fa"), F.col("fb")) <= most)).where(F.col("at") == first).select("fa", "fb")
-
-    # Equal fingerprints of different sets, and sets of close fingerprints.
-    p, q = sets.select(F.col("id").alias("i"), F.col("fp").alias("fa"), F.col("ends").alias("ea")), sets.select(F.col("id").alias("j"), F.col("fp").alias("fb"), F.col("ends").alias("eb"))
-    cols = [F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), X.hamming(F.col("fa"), F.col("fb")).alias("distance"), F.arrays_overlap("ea", "eb").alias("sure")]
-    same = p.join(q, F.col("fa") == F.col("fb")).where(F.col("i") < F.col("j")).select(*cols)
-    met = materialize(same.union(close.join(p, "fa").join(q, "fb").select(*cols)), "close-sets")
-
-    # Four least token hashes show most shared tokens; the other pairs are compared whole.
-    rest = met.where(~F.col("sure")).select("a", "b", "distance")
-    left, right = full.groupBy("id").agg(F.first("words").alias("wa")).withColumnRenamed("id", "a"), full.groupBy("id").agg(F.first("words").alias("wb")).withColumnRenamed("id", "b")
-    shared = rest.join(left, "a").join(right, "b").where(F.arrays_overlap("wa", "wb"))
-    near = met.where("sure").select("a", "b", "distance").union(shared.select("a", "b", "distance"))
-    return copies.union(near.select(F.lit("near").alias("kind"), "a", "b", "distance"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import consensus as C
 from tidemark.operators import evidence as E
+from tidemark.operators import near as N
 from tidemark.operators import relational as R
 from tidemark.shared import new_folder
 from tidemark.streaming import capture as S
@@ -207,7 +208,12 @@ def canonical_urls(spark, d):
 
 @query()
 def simhash_near(spark, d):
-    return R.near_fingerprints(t(spark, d, "documents"), "doc_id", "text")
+    return N.near_texts(t(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def image_near(spark, d):
+    return N.near_images(t(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
 
 @query()
