@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import envelope as V
 from tidemark.operators import coverage as K
 from tidemark.sources import posts as P
 from tidemark.sources import sinks
@@ -76,3 +77,19 @@ def test_sinks(spark, tmp_path):
     sinks.write_snapshot(df, str(tmp_path / "s"))
     sinks.write_snapshot(rows, str(tmp_path / "s"))
     assert seen.get == {"rows": 2} and spark.read.json(str(tmp_path / "s")).count() == 2
+
+
+def test_a_candidate_that_was_never_asked_is_a_gap(spark):
+    base = ["trends:A", "trends:B", "pools:x", "fees"]
+    health = spark.createDataFrame([(r, s, True) for r in (1, 2, 3, 4) for s in base] + [(1, "tokeninfo:x:7", True), (2, "tokeninfo:x:7", False), (4, "tokeninfo:x:7", True)], "run int, source string, ok boolean")
+    due = spark.createDataFrame([(1, "x", "7"), (2, "x", "7"), (3, "x", "7"), (4, "x", "7"), (4, "x", "8"), (5, "x", "9")], "run int, network string, token string")
+    got = {r.run: (r.coverage_state, r.candidates_complete) for r in K.coverage_states(health, ["A", "B"], ["x"], candidates=due).collect()}
+    assert got == {1: ("COMPLETE", True), 2: ("INSUFFICIENT", False), 3: ("INSUFFICIENT", False), 4: ("INSUFFICIENT", False), 5: ("INSUFFICIENT", False)}
+
+
+def test_a_bad_payload_is_a_gap_beside_good_ones(spark):
+    df = spark.createDataFrame([("0x1F", '{"b":1, "a":2}'), ("0x8000000000000000", "{bad"), ("0x7fffffffffffffff", None), ("zz", '{"a":2,"b":1}'), ("0x" + "f" * 64, "[" * 100_000), (None, ""), ("0x" + "0" * 60 + "ff", "1")], "x string, p string").coalesce(1)
+    got = df.select(V.hex_long(F.col("x")).alias("n"), V.hex_decimal(F.col("x")).alias("d"), V.canonical_json_hash(F.col("p")).alias("h")).collect()
+    assert [r.n for r in got] == [31, None, 2**63 - 1, None, None, 0, 255]
+    assert [None if r.d is None else int(r.d) for r in got] == [31, 2**63, 2**63 - 1, None, None, None, 255]
+    assert got[0].h == got[3].h is not None and [r.h for r in got[1:3]] == [None, None] and got[4].h is None and got[6].h is not None

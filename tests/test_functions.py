@@ -9,20 +9,15 @@ def one(spark, value, f, kind="string"):
 
 
 def test_text_functions(spark):
-    assert one(spark, "see https://a.b/c mail me@x.org or +1 555-123-4567 @you  now", X.redact) == "see mail [email] or [phone] [user] now"
-    assert one(spark, None, X.redact) == ""
-    assert one(spark, "A Viral MEME", X.matched_buckets) == ["meme", "viral"]
-    assert one(spark, "HTTPS://WWW.Ex.com/a/?utm_source=z&b=2&a=1#f", X.canonical_url) == "https://ex.com/a?a=1&b=2"
-    assert one(spark, "ftp://x", X.canonical_url) is None
+    assert one(spark, "A Viral MEME", X.matched_buckets) == ["meme"]
     assert [one(spark, v, X.metric) for v in ("1.2M", "3k", "17", "x", None)] == [1200000, 3000, 17, None, None]
-    assert [one(spark, v, X.age_minutes) for v in ("3 hours ago", "2 days", "now")] == [180.0, 2880.0, None]
-    assert one(spark, "Straße Çédille", X.normalize) == "strasse cedille"
+    assert [one(spark, v, X.age_minutes) for v in ("3 hours ago", "Streamed 1 day ago", "5 days later", "Premieres in 3 days", "now", None)] == [180.0, 1440.0, None, None, None, None]
     assert X.simhash_bits([]) is None and X.simhash_bits(["a"]) == X.simhash_bits(["a", "a"])
 
 
 def test_same_address(spark):
-    df = spark.createDataFrame([("0xAb", "0xaB"), ("Ab", "ab"), (None, "x")], "a string, b string")
-    assert [r[0] for r in df.select(X.same_address(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    df = spark.createDataFrame([("0xAb", "0xaB"), ("Ab", "ab"), (None, "x"), ("", ""), (None, None), ("q", "q")], "a string, b string")
+    assert [r[0] for r in df.select(X.same_address(F.col("a"), F.col("b"))).collect()] == [True, False, False, False, False, True]
 
 
 def test_launch_coverage_keeps_the_boundary_in_a_gap(spark):

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import fixed
 from tidemark.functions import text as X
 from tidemark.operators import relational as R
 
@@ -34,4 +35,4 @@ def test_interval_token_join_matches_brute_force(spark):
 def test_reference_buckets(spark):
     rows = [("It went viral, a reaction video https://www.tiktok.com/x", ["origin_tiktok", "reaction", "viral"]), ("a viral day", []), ("Fan art, spoof", ["derivative", "parody"]), (None, [])]
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, x string")
-    assert [r[0] for r in df.orderBy("i").select(X.matched_buckets(F.col("x"), patterns=X.SOCIAL_BUCKETS)).collect()] == [r[1] for r in rows]
+    assert [r[0] for r in df.orderBy("i").select(X.matched_buckets(F.col("x"), patterns=fixed.SOCIAL_BUCKETS)).collect()] == [r[1] for r in rows]

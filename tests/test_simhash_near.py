@@ -1,9 +1,11 @@
 import math
 import random
+import re
 import statistics
 
 import numpy as np
 
+from tidemark.functions import fixed
 from tidemark.functions import images as I
 from tidemark.functions import text as X
 from tidemark.operators import near as N
@@ -30,7 +32,7 @@ def far(a, b):
 
 def brute(rows):
     """(doc_id, set_id, class_id), and the distances of the links."""
-    words = {i: frozenset(w for w in X.re.findall("[a-z0-9]{3,}", (s or "").lower()) if w not in X.STOP) for i, s in rows}
+    words = {i: frozenset(w for w in re.findall(fixed.POST_TOKEN, (s or "").lower()) if w not in fixed.POST_STOP and not w.isdigit()) for i, s in rows}
     rep = {}
     for i in sorted(words):
         rep.setdefault(words[i] or i, i)

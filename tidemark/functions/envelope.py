@@ -18,19 +18,19 @@ from tidemark.functions import fixed
 #: An object of a platform: hosts, what its path looks like, and its canonical form. For ``?v=`` the query names it.
 OBJECTS = [
     ({"x.com"}, re.compile(r"/status/(\d+)"), "x.com/status/{0}"), ({"tiktok.com", "vm.tiktok.com"}, re.compile(r"/video/(\d+)"), "tiktok.com/video/{0}"), ({"youtu.be"}, re.compile(r"^/+([^/]+)"), "youtube.com/video/{0}"),
-    ({"youtube.com"}, re.compile(r"^/shorts/([^/]+)"), "youtube.com/video/{0}"), ({"reddit.com"}, re.compile(r"/comments/([a-z0-9]+)", re.I), "reddit.com/comments/{0:l}"), ({"instagram.com"}, re.compile(r"/(p|reel|reels)/([^/?#]+)", re.I), "instagram.com/{0:l}/{1}"),
+    ({"youtube.com"}, re.compile(r"^/shorts/([^/]+)"), "youtube.com/video/{0}"), ({"reddit.com"}, re.compile(r"/comments/([a-z0-9]+)", re.I), "reddit.com/comments/{0}"), ({"instagram.com"}, re.compile(r"/(p|reel|reels)/([^/?#]+)", re.I), "instagram.com/{0}/{1}"),
 ]
 
 
-class _Part(str):
-    def __format__(self, spec: str) -> str:
-        return self.lower() if spec == "l" else str(self)
+#: Hosts whose first part is the same in any case of letters.
+LOWER_FIRST = {"reddit.com", "instagram.com"}
 
 
 def _known_object(host: str, path: str, query: str) -> str | None:
     for hosts, pattern, form in OBJECTS:
         if host in hosts and (m := pattern.search(path)):
-            return form.format(*map(_Part, m.groups()))
+            first, *rest = m.groups()
+            return form.format(first.lower() if host in LOWER_FIRST else first, *rest)
     if host == "youtube.com" and path == "/watch":
         video = dict(reversed(parse_qsl(query))).get("v")
         return f"youtube.com/video/{video}" if video else None
@@ -99,12 +99,13 @@ def semantic_tokens(normal: Column) -> Column:
     return F.array_sort(F.filter(words, lambda w: (w != "") & ~w.isin(fixed.TITLE_STOP) & ((F.length(w) >= 3) | w.rlike(r"[^\x00-\x7F]"))))
 
 
-def clean_text(text: Column) -> Column:
-    """Links out, mail addresses, phone numbers and mentions redacted, white space folded, POST_LENGTH characters."""
+def clean_text(text: Column, most: int | None = fixed.POST_LENGTH) -> Column:
+    """Links out, mail addresses, phone numbers and mentions redacted, white space folded; the first ``most`` characters (None: all)."""
     t = F.coalesce(text, F.lit(""))
     for pattern, label in fixed.POST_REDACTIONS:
         t = F.regexp_replace(t, f"(?U){pattern}", label)
-    return F.substring(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), 1, fixed.POST_LENGTH)
+    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return t if most is None else F.substring(t, 1, most)
 
 
 def html_to_text(source: Column) -> Column:
@@ -112,10 +113,11 @@ def html_to_text(source: Column) -> Column:
     return _each("string", lambda x: " ".join(html.unescape(x or "").split()), F.regexp_replace(F.coalesce(source, F.lit("")), fixed.TAG, " "))
 
 
-def text_tokens(text: Column, most: int = 24) -> Column:
-    """The first ``most`` distinct lower-case tokens that are neither stop words nor numbers."""
+def text_tokens(text: Column, most: int | None = 24) -> Column:
+    """The first ``most`` (None: all) distinct lower-case tokens that are neither stop words nor numbers."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(fixed.POST_TOKEN), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(fixed.POST_STOP) & ~w.rlike(r"^\d+$"))), 1, most)
+    own = F.array_distinct(F.filter(found, lambda w: ~w.isin(fixed.POST_STOP) & ~w.rlike(r"^\d+$")))
+    return own if most is None else F.slice(own, 1, most)
 
 
 def allowed_links(values: Column, most: int = 12) -> Column:
@@ -159,9 +161,18 @@ def recursive_urls(payload: Column) -> Column:
     return _each("array<string>", run, payload)
 
 
+def canonical_json_text(text: str | None) -> str | None:
+    """Sorted keys, no blanks; None for what isn't JSON."""
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
 def canonical_json_hash(payload: Column) -> Column:
-    """SHA-256 of a JSON text with sorted keys and no blanks, which order and spacing of the input don't change."""
-    return F.sha2(_each("string", lambda x: json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if x else None, payload), 256)
+    """SHA-256 of a JSON text with sorted keys and no blanks, which order and spacing of the input don't change. Null for a payload that isn't
+    JSON: its row stays and shows the gap."""
+    return F.sha2(_each("string", canonical_json_text, payload), 256)
 
 
 #: Which canonical URL is a post's object, by the start of its source: the first pattern that any of its links fits. The last
@@ -194,8 +205,17 @@ def is_crypto(text: Column) -> Column:
 
 
 def hex_long(x: Column) -> Column:
-    """``0x1f`` as 31; null counts as 0."""
-    return F.conv(F.regexp_replace(F.coalesce(x, F.lit("0x0")), "^0x", ""), 16, 10).cast("long")
+    """``0x1f`` as 31; null counts as 0. A number of over 63 bits, or what is no hexadecimal number, is null: a gap, not a wrong number."""
+    digits = F.regexp_replace(F.lower(F.coalesce(x, F.lit("0x0"))), "^0x0*", "")
+    number = F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).try_cast("long")
+    return F.when(digits.rlike("^[0-9a-f]{0,15}$") | digits.rlike("^[0-7][0-9a-f]{15}$"), number)
+
+
+def hex_decimal(x: Column) -> Column:
+    """``0x1f`` as a decimal of 38 digits, for words of up to 120 bits; null for a longer one or what is no hexadecimal number."""
+    digits = F.lpad(F.regexp_replace(F.lower(x), "^0x0*", ""), 30, "0")
+    part = lambda at: F.conv(F.substring(digits, at, 15), 16, 10).cast("decimal(38,0)")
+    return F.when(x.rlike("^(0[xX])?0*[0-9a-fA-F]{0,30}$"), part(1) * F.lit(16**15).cast("decimal(19,0)") + part(16))
 
 
 def topic_address(x: Column) -> Column:

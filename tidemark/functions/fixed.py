@@ -32,3 +32,11 @@ CRYPTO_TERMS = r"\b(memecoin|meme coin|pumpfun|pump\.fun|solana|cryptocurrency|b
 
 # Ladders' thresholds.
 PROBE_USD = 50.0
+
+# What a post's text or links hold that belongs to a bucket.
+SOCIAL_BUCKETS = {
+    "origin_tiktok": ["tiktok.com"], "origin_instagram": ["instagram.com"], "origin_x": ["x.com/", "twitter.com/"],
+    "viral": ["went viral", "goes viral", "gone viral", "viral video", "viral clip", "breaks the internet"], "meme": [" meme", "meme ", "memes", "memeable"], "remix": ["remix", "remixed", "remixes"],
+    "reaction": ["reaction video", "reaction image", "reaction meme"], "template": ["template", "green screen"], "parody": ["parody", "spoof"],
+    "derivative": ["sticker", "fan art", "fanart", "fan account", "edit of", "edits of", "duet", "stitch"],
+}

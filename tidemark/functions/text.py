@@ -3,54 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and word lists whose results must agree with the data's producers.
-EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-PHONE = r"(?<!\d)(?:\+?\d[\d .()/-]{7,}\d)(?!\d)"
-MENTION = r"(?<!\w)@[A-Za-z0-9_.]{2,}"
-LINK = r"https?://\S+"
-BUCKETS = {"meme": ["meme"], "remix": ["remix"], "template": ["template"], "parody": ["parody"], "viral": ["viral"], "duet": ["duet", "stitch"]}
-#: The reference's patterns (collect_v2.py), for ``matched_buckets``; BUCKETS above are looser.
-SOCIAL_BUCKETS = {
-    "origin_tiktok": ["tiktok.com"], "origin_instagram": ["instagram.com"], "origin_x": ["x.com/", "twitter.com/"],
-    "viral": ["went viral", "goes viral", "gone viral", "viral video", "viral clip", "breaks the internet"], "meme": [" meme", "meme ", "memes", "memeable"], "remix": ["remix", "remixed", "remixes"],
-    "reaction": ["reaction video", "reaction image", "reaction meme"], "template": ["template", "green screen"], "parody": ["parody", "spoof"],
-    "derivative": ["sticker", "fan art", "fanart", "fan account", "edit of", "edits of", "duet", "stitch"],
-}
-STOP = ["the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "have", "not", "but", "you", "his", "her", "its", "who", "what", "new"]
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "igshid", "ref", "ref_src", "si", "feature"]
-
-
-def redact(text: Column, most: int | None = None) -> Column:
-    """Links, mail addresses, phone numbers and mentions out, in this order; white space folded; cut to ``most`` (posts: 500) if given."""
-    t = F.coalesce(text, F.lit(""))
-    for pattern, label in ((LINK, " "), (EMAIL, "[email]"), (PHONE, "[phone]"), (MENTION, "[user]")):
-        t = F.regexp_replace(t, pattern, label)
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    return t if most is None else F.substring(t, 1, most)
-
+from tidemark.functions import fixed
 
 def matched_buckets(text: Column, links: Column | None = None, patterns: dict[str, list[str]] | None = None) -> Column:
     """Sorted names of the buckets of which a pattern occurs in the lower-cased text and links."""
     hay = F.lower(F.concat_ws(" ", text, *([F.array_join(links, " ")] if links is not None else [])))
-    found = [F.when(F.greatest(F.lit(False), *[F.contains(hay, F.lit(p)) for p in ps]), F.lit(b)) for b, ps in sorted((patterns or BUCKETS).items())]
+    found = [F.when(F.greatest(F.lit(False), *[F.contains(hay, F.lit(p)) for p in ps]), F.lit(b)) for b, ps in sorted((patterns or fixed.SOCIAL_BUCKETS).items())]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def tokens(text: Column, most: int | None = 24, least: int = 3) -> Column:
-    """First ``most`` (None: all) distinct lower-case ASCII words of ``least`` characters that are no stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[a-z0-9]{{{least},}}"), F.lit(0))
-    own = F.array_distinct(F.filter(found, lambda w: ~w.isin(STOP)))
-    return own if most is None else F.slice(own, 1, most)
-
-
 def match_score(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Column:
     """1 if equal; for two or more shared tokens 0.6 + 0.1 each up to 0.95; 0.72 for one of six letters that is a whole side; else 0."""
     both = F.array_intersect(a_tokens, b_tokens)
@@ -59,15 +26,6 @@ def match_score(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Col
     return F.when(a == b, 1.0).when(n >= 2, F.least(F.lit(0.95), 0.6 + 0.1 * n)).when(single, 0.72).otherwise(0.0)
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no ``www.``, fragment, trailing slash or tracking keys; query keys sorted. Null if it isn't http(s)."""
-    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", "")
-    pairs = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
-    query = F.array_join(F.array_sort(pairs), "&")
-    return F.when(F.lower(url).rlike("^https?://") & host.isNotNull(), F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
-
-
 def metric(text: Column) -> Column:
     """``1.2M`` as 1200000; K, M and B; null for anything else."""
     t = F.upper(F.trim(F.regexp_replace(text, ",", "")))
@@ -77,9 +35,9 @@ def metric(text: Column) -> Column:
 
 
 def age_minutes(text: Column) -> Column:
-    """``3 hours ago`` in minutes; null if it says no age."""
-    n = F.regexp_extract(F.lower(text), r"(\d+)\s*(?:second|minute|hour|day|week|month|year)", 1)
-    unit = F.regexp_extract(F.lower(text), r"\d+\s*(second|minute|hour|day|week|month|year)", 1)
+    """``3 hours ago`` in minutes; null for what doesn't say how long ago it was."""
+    ago = r"(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago"
+    n, unit = F.regexp_extract(F.lower(text), ago, 1), F.regexp_extract(F.lower(text), ago, 2)
     per = {"second": 1 / 60, "minute": 1.0, "hour": 60.0, "day": 1440.0, "week": 10080.0, "month": 43200.0, "year": 525600.0}
     case = F.lit(None).cast("double")
     for k, v in per.items():
@@ -93,8 +51,8 @@ def short_id(*parts: Column) -> Column:
 
 
 def same_address(a: Column, b: Column) -> Column:
-    """Equal; without regard to case only if both start with 0x. Null is never equal."""
-    return F.coalesce(F.when(a.startswith("0x") & b.startswith("0x"), F.lower(a) == F.lower(b)).otherwise(a == b), F.lit(False))
+    """Equal; without regard to case only if both start with 0x. Null and empty are never equal."""
+    return F.coalesce((a != "") & F.when(a.startswith("0x") & b.startswith("0x"), F.lower(a) == F.lower(b)).otherwise(a == b), F.lit(False))
 
 
 def snowflake_time(x: Column) -> Column:
@@ -107,19 +65,6 @@ def timely(published: Column, observed: Column, most: int = 120) -> Column:
     return F.coalesce(age.between(-5, most), F.lit(False))
 
 
-def normalize_text(text: str | None) -> str:
-    """NFKD, case folded, combining marks removed, words joined by blanks."""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text or "").casefold() if not unicodedata.combining(c))
-    return " ".join(re.findall(r"[^\W_]+", t))
-
-
-def normalize(text: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(normalize_text)
-
-    return F.pandas_udf(run, "string")(text)
-
-
 def simhash_bits(words: list[str]) -> int | None:
     """64-bit SimHash over 8-byte BLAKE2b of each word, as a signed integer; a tie sets the bit; no words give none."""
     if not len(words):

@@ -9,15 +9,21 @@ PARSED_TX = "struct<transaction:struct<message:struct<accountKeys:array<string>>
 PARSED_KEY = "struct<pubkey:string,signer:boolean>"
 
 
-def coverage_states(health: DataFrame, geos: list[str], networks: list[str], run: str = "run") -> DataFrame:
+def coverage_states(health: DataFrame, geos: list[str], networks: list[str], run: str = "run", candidates: DataFrame | None = None) -> DataFrame:
     """Per run, from its (source, ok) rows: attention_sources_ok, attention_quorum, usable_lanes, candidates_complete and
     coverage_state.
 
-    Sources are ``trends:<geo>``, ``pools:<network>``, ``fees`` and, for each candidate, ``tokeninfo:<network>:<token>``. A
-    source without a row was not seen and counts as failed; of several rows of a source one that failed counts. A run without candidates has none
-    that is missing. Names are counted, not collected, so a run may have any number of candidates."""
+    Sources are ``trends:<geo>``, ``pools:<network>``, ``fees`` and, for each candidate, ``tokeninfo:<network>:<token>``. A source without a
+    row was not seen and counts as failed; of several rows of a source one that failed counts. ``candidates`` (run, network, token) are those that a run had
+    to ask for: one without a good row leaves the run incomplete, so nothing that was never asked counts as seen. Without the table the candidates are
+    those with a row. Names are counted, not collected, so a run may have any number of candidates."""
     attention, pools = [f"trends:{g}" for g in geos], [f"pools:{n}" for n in networks]
-    each = health.groupBy(run, "source").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
+    rows = health.select(run, "source", F.coalesce("ok", F.lit(False)).alias("ok"))
+    if candidates is not None:
+        due = candidates.select(run, F.concat_ws(":", F.lit("tokeninfo"), "network", F.col("token").cast("string")).alias("source")).distinct()
+        asked = due.join(rows.select(run, "source").distinct(), [run, "source"], "left_anti")
+        rows = rows.unionByName(asked.withColumn("ok", F.lit(False)))
+    each = rows.groupBy(run, "source").agg(F.bool_and("ok").alias("ok"))
     here = lambda names: F.count_if(F.col("ok") & F.col("source").isin(names))
     lanes = F.array_sort(F.collect_set(F.when(F.col("ok") & F.col("source").isin(pools), F.substring_index("source", ":", -1))))
     out = each.groupBy(run).agg(

@@ -9,6 +9,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import envelope as V
 from tidemark.functions import images as I
 from tidemark.functions import text as X
 from tidemark.operators.components import connected_components
@@ -75,7 +76,7 @@ def near_texts(docs: DataFrame, key: str, text: str, most: int = 6) -> DataFrame
 
     Keys are integers; rows that repeat one are linked through it. Four least token hashes show most shared tokens, and the texts of other pairs are
     compared whole. An empty table gives no rows."""
-    full = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), X.tokens(F.col(text), None).alias("words"))
+    full = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), V.text_tokens(F.col(text), None).alias("words"))
     ends = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 4)
     base = full.select("id", F.when(F.size("words") > 0, F.sha2(F.array_join(F.array_sort("words"), " "), 256)).alias("own"), ends.alias("ends"), X.simhash(F.col("words")).alias("fp"))
     base = materialize(base, "token-prints")

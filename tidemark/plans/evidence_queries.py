@@ -226,9 +226,9 @@ def title_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(V.semantic_tokens(V.normalize(F.col("text"))), " ").alias("tokens"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AS crypto FROM documents")
+@query("SELECT doc_id, regexp_matches(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' so MemeCoin!' WHEN doc_id % 5 = 1 THEN ' so cryptography!' ELSE ' so launch!' END, '(?i)" + fixed.CRYPTO_TERMS.replace("'", "''") + "') AS crypto FROM documents")
 def crypto_posts(spark, d):
-    said = F.concat(F.lit("so "), F.when(F.col("doc_id") % 5 == 0, "MemeCoin").when(F.col("doc_id") % 5 == 1, "cryptography").otherwise("launch"), F.lit("!"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" so "), F.when(F.col("doc_id") % 5 == 0, "MemeCoin").when(F.col("doc_id") % 5 == 1, "cryptography").otherwise("launch"), F.lit("!"))
     return t(spark, d, "documents").select("doc_id", V.is_crypto(said).alias("crypto"))
 
 
@@ -253,3 +253,6 @@ def event_pool_matches(spark, d):
     events = p.select(name.alias("event_id")).distinct().select("event_id", F.timestamp_seconds(F.lit(0)).alias("published"), F.col("event_id").alias("phrase"), F.split("event_id", " ").alias("tokens"))
     pools = p.select(F.col("p_partkey").alias("pool_id"), F.timestamp_seconds(F.col("p_partkey") * 60).alias("created"), said.alias("phrase")).withColumn("tokens", F.split("phrase", " "))
     return R.interval_token_join(events, pools)
+
+
+ORACLE_SQL["canonical_urls"] = ORACLE_SQL["normalized_urls"]

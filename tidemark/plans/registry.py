@@ -10,6 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import envelope as V
 from tidemark.functions import text as X
 from tidemark.operators import consensus as C
 from tidemark.operators import evidence as E
@@ -198,12 +199,12 @@ def distinct_tokens(spark, d):
 
 @query()
 def redacted_text(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("text"))
+    return t(spark, d, "documents").select("doc_id", V.clean_text(F.col("text"), None).alias("text"))
 
 
 @query()
 def canonical_urls(spark, d):
-    return t(spark, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url"))
+    return t(spark, d, "pages").select("page_id", V.normalize_object_url(F.col("url")).alias("url"))
 
 
 @query()

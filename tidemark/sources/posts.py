@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import envelope as V
+from tidemark.functions import fixed
 from tidemark.functions import text as X
 from tidemark.sources.feeds import feed_time
 
@@ -55,7 +56,7 @@ def statuses(df: DataFrame, body: str = "body", most: int | None = None, reblogs
     hrefs = F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']([^\"']+)"), F.lit(1))
     media = F.flatten(F.transform(F.coalesce("_s.media_attachments", F.array().cast("array<struct<preview_url:string,url:string>>")), lambda m: F.array(m["preview_url"], m["url"])))
     x = x.select(*keep, (F.col("_p") + 1).alias("rank"), _first(F.col("_s.account.uri"), F.col("_s.account.url"), F.col("_s.account.id")).alias("actor_id"), _first(F.col("_s.uri"), F.col("_s.url"), F.col("_s.id")).alias("post_id"), feed_time(F.col("_s.created_at")).alias("created_at"), V.html_to_text(html).alias("text"), V.allowed_links(F.concat(F.array(html), hrefs)).alias("links"), F.array_compact(media).alias("media"))
-    x = x.withColumn("buckets", X.matched_buckets(F.col("text"), F.col("links"), X.SOCIAL_BUCKETS))
+    x = x.withColumn("buckets", X.matched_buckets(F.col("text"), F.col("links"), fixed.SOCIAL_BUCKETS))
     return x.where((F.col("post_id") != "") & ((F.size("buckets") > 0) | (F.size("links") > 0)))
 
 
