@@ -11,7 +11,9 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +31,6 @@ FIELDS = {
 }
 FIELD_LINE = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ROW_HEADER = "X-Row-Id"
 
 
 class ArcRecord(NamedTuple):
@@ -90,37 +91,52 @@ def parse_arc(source) -> Iterator[ArcRecord]:
 
 
 def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, url, ip, date, type, block) of every record of the ``.arc`` and ``.arc.gz`` files under a path or glob.
+    """(path, offset, url, ip, date, type, block, error) of every record of the ``.arc`` and ``.arc.gz`` files under a path or glob.
 
-    Spark lists the files; each is read as a stream by one task, which holds one record at a time."""
+    Spark lists the files; each is read as a stream by one task, which holds one record at a time. Where a file breaks off or isn't what it
+    says, one row with the ``error`` and the place of the last whole record stands for the rest of it; the other files aren't touched by it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(r"\.arc(\.gz)?$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with files.read(name) as raw, (gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw)) as stream:
-                    for r in parse_arc(stream):
-                        yield pa.RecordBatch.from_pydict({"path": [name], "offset": pa.array([r.offset], pa.int64()), "url": [r.url], "ip": [r.ip], "date": [r.date], "type": [r.type], "block": pa.array([r.block], pa.binary())})
+                last = 0
+                try:
+                    with files.read(name) as raw, (gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw)) as stream:
+                        for r in parse_arc(stream):
+                            last = r.offset
+                            yield row(name, r.offset, r.url, r.ip, r.date, r.type, r.block, None)
+                except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as e:
+                    yield row(name, last, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
-    return found.mapInArrow(run, "path string, offset long, url string, ip string, date string, type string, block binary")
+    names, kinds = zip(("path", pa.string()), ("offset", pa.int64()), *[(c, pa.string()) for c in ("url", "ip", "date", "type")], ("block", pa.binary()), ("error", pa.string()), strict=True)
+    row = lambda *cells: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds, strict=True)], names=list(names))
+    return found.mapInArrow(run, "path string, offset long, url string, ip string, date string, type string, block binary, error string")
 
 
 def convert_arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, warc): the WARC record, as bytes, of each record of the ARC files under a path."""
+    """(path, offset, warc, error): the WARC record, as bytes, of each record of the ARC files under a path; null beside an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out = [convert(ArcRecord(r["url"], r["ip"], r["date"], r["type"], r["block"], r["offset"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "offset", "warc"])
+            out = [None if r["error"] else convert(ArcRecord(r["url"], r["ip"], r["date"], r["type"], r["block"], r["offset"]), place=r["path"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(7)], names=["path", "offset", "warc", "error"])
 
-    return read_arc_files(spark, path).mapInArrow(run, "path string, offset long, warc binary")
+    return read_arc_files(spark, path).mapInArrow(run, "path string, offset long, warc binary, error string")
 
 
 def warc_date(date: str) -> str:
-    """ISO form of a 14-digit or shorter ARC date; missing parts are the earliest."""
-    d = (date + "00000101000000"[len(date) :])[:14] if date.isdigit() and len(date) >= 4 else "19700101000000"
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
+    """ISO form of a 14-digit or shorter ARC date. Missing parts are the earliest, and so is what follows the longest beginning that is a
+    date (``20200230``: the first of February); 1970 if there is none."""
+    digits = date[:14] if date.isascii() and date.isdigit() else ""
+    for n in (len(digits), 12, 10, 8, 6, 4):
+        if 4 <= n <= len(digits):
+            try:
+                return f"{datetime.strptime(digits[:n] + '00000101000000'[n:], '%Y%m%d%H%M%S'):%Y-%m-%dT%H:%M:%SZ}".rjust(20, "0")
+            except ValueError:
+                continue
+    return "1970-01-01T00:00:00Z"
 
 
 LOW = (1 << 62) - 1
@@ -152,24 +168,16 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return b"", block
 
 
-def http_header(head: bytes, name: str) -> str | None:
-    for line in head.split(b"\r\n")[1:]:
-        k, _, v = line.partition(b":")
-        if k.strip().lower() == name.lower().encode():
-            return v.strip().decode()
-    return None
-
-
-def convert(record: ArcRecord, target: int | None = None) -> bytes:
+def convert(record: ArcRecord, target: int | None = None, row: int | None = None, place: str = "") -> bytes:
     """The WARC record for an ARC record: response, resource for blocks that aren't HTTP, or revisit if ``target`` is the
-    row of another record with the same payload."""
+    row of another record with the same payload. Its id holds the number ``row``; without one it is named by ``place`` (the
+    path of its file), address, date and offset. Nothing in the record itself is taken for a number."""
     head, payload = split_http(record.block)
     digest = hashlib.sha256(payload).digest()
-    row = http_header(head, ROW_HEADER)
     kind = "revisit" if target is not None else "response" if head else "resource"
     body = head if kind == "revisit" else record.block
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(int(row) if row else None, f'{record.url} {record.date} {record.offset}')}>", f"WARC-Date: {warc_date(record.date)}", f"WARC-Target-URI: {record.url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(row, f'{place} {record.url} {record.date} {record.offset}')}>", f"WARC-Date: {warc_date(record.date)}", f"WARC-Target-URI: {record.url}",
         *([f"WARC-IP-Address: {record.ip}"] if record.ip not in ("", "-", "0.0.0.0") else []),
         f"WARC-Payload-Digest: sha256:{digest.hex()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}", f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(target)}>"] if kind == "revisit" else []),
@@ -241,12 +249,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, file_bytes:
             for a in range(0, batch.num_rows, 256):
                 ids, urls, texts, first = (c.to_pylist() for c in batch.slice(a, 256).columns)
                 arc = []
-                for i, u, h in zip(ids, urls, texts, strict=True):
-                    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"{ROW_HEADER}: {i}\r\n" if i is not None else "") + "\r\n"
-                    arc.append((u or "-", "0.0.0.0", "20200101000000", "text/html", head.encode() + (h or "").encode()))
+                for u, h in zip(urls, texts, strict=True):
+                    arc.append((u or "-", "0.0.0.0", "20200101000000", "text/html", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (h or "").encode()))
                 # Both versions of the format pass through the converter, by turns.
-                for r, target in zip(parse_arc(arc_file(1 + (a // 256 + part) % 2, arc)), first, strict=True):
-                    buffer.append(gzip.compress(convert(r, target), 3, mtime=0))
+                for r, i, target in zip(parse_arc(arc_file(1 + (a // 256 + part) % 2, arc)), ids, first, strict=True):
+                    # A row without a key is named by its place in this run.
+                    buffer.append(gzip.compress(convert(r, target, i, f"{folder} {part} {nth} {len(buffer)}"), 3, mtime=0))
                     held += len(buffer[-1])
                 if held >= file_bytes:
                     yield flush()
