@@ -1,11 +1,13 @@
 """Tables that are written together: each cut's folders become visible by one manifest, whole or not at all.
 
 ``<folder>/data/<cut>-<attempt>/<table>`` holds the rows, ``<folder>/log/<cut>.json`` says which attempt counts. A manifest
-is written beside the log and moved to its place, which fails if another writer was first; what has no manifest is never read."""
+is written beside the log and moved to its place, which fails if another writer was first; what has no manifest is never read. That
+only one writer gets a place is the promise of the store's rename; a local disk has a moment between its check and the move."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -26,7 +28,14 @@ def manifests(spark: SparkSession, folder: str) -> dict[int, dict[str, str]]:
     log = path(f"{folder}/log")
     if not context(log).util().exists(log):
         return {}
-    rows = spark.read.schema("cut long, tables map<string,string>").json(f"{folder}/log/*.json").collect()
+    for wait in (0.1, 0.3, 1.0, None):  # a manifest that is just being moved may not be readable yet
+        try:
+            rows = spark.read.schema("cut long, tables map<string,string>").json(f"{folder}/log/*.json").where("cut IS NOT NULL").collect()
+            break
+        except Exception:
+            if wait is None:
+                raise
+            time.sleep(wait)
     return {r.cut: r.tables for r in sorted(rows, key=lambda r: r.cut)}
 
 
@@ -50,14 +59,18 @@ def _publish(spark: SparkSession, folder: str, cut: int, tables: dict[str, str])
     out = fs.create(own, False)
     out.write(json.dumps({"cut": cut, "tables": tables}).encode())
     out.close()
-    try:
-        context(own).rename(own, place, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
-    except Exception as e:
-        if _is_committed(spark, folder, cut):
+    for wait in (0.1, 0.3, 1.0, 3.0):
+        try:
+            context(own).rename(own, place, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:  # another writer was first, or the store failed for a moment: the log tells which
+            if not _is_committed(spark, folder, cut):
+                time.sleep(wait)
+                continue
+        won = manifests(spark, folder).get(cut) == tables
+        if not won:
             fs.delete(own, False)
-            return False
-        raise e
-    return True
+        return won
+    raise PySparkException(f"the manifest of cut {cut} can't be moved into {folder}")
 
 
 def commit_cut(folder: str, cut: int, tables: dict[str, DataFrame]) -> bool:
