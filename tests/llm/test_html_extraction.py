@@ -19,6 +19,10 @@ def brute(source):
     limit = max(min(x.density for x in up(best)), 1e-9)
     best = next(x for x in up(best) if x.tag in H.BLOCK)
     best = ([x for x in up(best) if x.tag == "article"] or [best])[0]
+    on = set(map(id, up(best)))
+    for x in nodes:  # names with a subject of their own go only where they are thin, or links
+        if x.weak and id(x) not in on:
+            x.aside = x.density < limit if x.tag in H.BLOCK else bool(x.link_chars)
     below = lambda x: [x, *(z for k in x.kids if isinstance(k, H.Node) and not k.aside for z in below(k))]
     good = lambda x: x.tag in H.BLOCK and x.density >= limit
 
@@ -34,7 +38,7 @@ def brute(source):
 def page(rng, articles):
     part = lambda: "".join(f"<p>{para(rng, rng.randrange(3, 40))}</p>" for _ in range(rng.randrange(1, 5)))
     links = lambda: "<ul>" + "".join(f"<li><a href=/{i}>{para(rng, 2)}</a></li>" for i in range(rng.randrange(2, 9))) + "</ul>"
-    parts = [f"<article><h2>{para(rng, 3)}</h2>{part()}</article>" for _ in range(articles)] + [f"<div>{part()}</div>", f"<section>{links()}{part()}</section>", links()]
+    parts = [f"<article><h2>{para(rng, 3)}</h2>{part()}</article>" for _ in range(articles)] + [f"<div>{part()}</div>", f"<div class='{rng.choice(['share-price', 'social-history', 'tags', 'related-posts'])}'>{part()}</div>", f"<p class=promo-code><a href=/>{para(rng, 5)}</a></p>", f"<section>{links()}{part()}</section>", links()]
     rng.shuffle(parts)
     return f"<html><body><nav>{links()}</nav><main>{''.join(parts)}</main><footer>{para(rng, 9)}</footer></body></html>"
 
@@ -57,6 +61,22 @@ def test_text_in_several_articles_and_beside_one_is_kept():
     assert H.extract(f"<body>{nav}<div><p>{a}</p><p>{b}</p></div></body>") == f"{a}\n{b}"
 
 
+def test_a_name_with_its_own_subject_removes_only_what_is_thin():
+    rng = random.Random(4)
+    a, b, c, d = (para(rng, n) for n in (60, 50, 40, 30))
+    links = "".join(f"<a href=/{i}>go {i}</a> " for i in range(9))
+    for name in ("class='share-price'", "id=social-history", "class=promo-code-review", "class='x relatedWork'"):
+        assert H.extract(f"<body><article><h1>t</h1><p>{a}</p><div {name}><p>{b}</p></div><p>{c}</p></article></body>") == "\n".join(["t", a, b, c])
+        assert H.extract(f"<body><article><h1>t</h1><p>{a}</p><div {name}>{links}</div><p>{c}</p></article></body>") == "\n".join(["t", a, c])
+        assert H.extract(f"<body><article><p>{a} <span {name}>five</span> left</p><p>{c}</p></article></body>") == f"{a} five left\n{c}"
+    for name in ("class=comments", "class='comment-list'", "id=related-posts", "class=share-buttons", "class='site-header'", "class='adBox2'", "id=newsletter_form"):
+        assert H.extract(f"<body><article><p>{a}</p><div {name}><p>{d}</p></div><p>{c}</p></article></body>") == f"{a}\n{c}"
+
+
+def test_white_space_folds_and_zero_width_characters_stay():
+    assert H.extract("<p>foo\u200bbar \ufeffx\u00a0 \n\ty&#8203;z&nbsp; </p>") == "foo\u200bbar \ufeffx y\u200bz"
+
+
 def test_deep_pages():
     assert H.extract("<div>" * 5000 + "<p>deep words here</p>") == "deep words here"
 

@@ -35,6 +35,13 @@ ASIDE_WORDS = {
     "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "tags", "widget", "widgets",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "alertdialog", "dialog", "toolbar"}
+#: Words that say how or where such a part is shown. A name whose last word but for these is another ("share-price") is
+#: about something else: there the density decides.
+SHOWN = {
+    "a", "area", "article", "articles", "author", "avatar", "bar", "block", "blocks", "body", "bottom", "box", "button", "buttons", "card", "cards", "cell", "col", "column", "container", "content", "contents", "count", "cta", "date", "desktop", "feed", "field", "fixed", "form", "frame", "global", "grid", "group",
+    "heading", "holder", "icon", "icons", "image", "img", "inline", "inner", "item", "items", "label", "large", "layer", "left", "link", "links", "list", "main", "message", "meta", "mobile", "name", "news", "outer", "overlay", "page", "panel", "panels", "policy", "post", "posts", "primary", "prompt", "region", "right", "row", "secondary", "section",
+    "site", "slot", "small", "space", "sticky", "stories", "story", "strip", "tab", "text", "thread", "title", "toggle", "top", "tower", "trigger", "unit", "units", "user", "wrap", "wrapper", "zone",
+}
 #: Names that begin so say what an element around the article has beside it, or hasn't. Elements that may wrap a page.
 WITH, WRAPPERS = {"no", "without", "with", "has", "hide", "hides", "disable", "disabled"}, {"form", "fieldset"}
 #: An element named ``header`` with one of these is the article's own title.
@@ -43,15 +50,15 @@ OWN_HEADER = {"article", "story", "post", "entry"}
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
-SPACES = re.compile(r"[\s​﻿]+")
+SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "aside", "soft", "block", "inside", "chars", "tags", "link_chars", "links", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "aside", "soft", "weak", "block", "inside", "chars", "tags", "link_chars", "links", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, aside: int = 0):
-        self.tag, self.parent, self.aside, self.soft = tag, parent, aside > 0, aside > 1
+        self.tag, self.parent, self.aside, self.soft, self.weak = tag, parent, 0 < aside < 3, aside == 2, aside == 3
         self.block = self if tag in BLOCK else parent and parent.block  # the nearest block around
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.kids: list[Node | str] = []
@@ -60,7 +67,9 @@ class Node:
 
 
 def is_aside(tag: str, attrs: str, parent: Node) -> int:
-    """1 for what is never article text; 2 for what isn't by its name or as a form, unless it wraps most of the page."""
+    """1 for what is never article text; 2 for what isn't by its name or as a form, unless it wraps most of the page; 3 where
+    a name has such a word beside its own subject, so that the density decides."""
+    weak = 0
     if tag in WRAPPERS:
         return 2
     if tag in NEVER:
@@ -80,8 +89,11 @@ def is_aside(tag: str, attrs: str, parent: Node) -> int:
                 said = [w.lower() for w in WORD.findall(one)]
                 hit = ASIDE_WORDS & set(said)
                 if hit and said[0] not in WITH and not (hit == {"header"} and OWN_HEADER & set(said)):
-                    return 2
-    return 0
+                    subject = [w for w in said if w not in SHOWN]
+                    if subject[-1] in ASIDE_WORDS:
+                        return 2
+                    weak = 3
+    return weak
 
 
 def tag_end(source: str, at: int, lost: set[str]) -> int:
@@ -223,6 +235,13 @@ def dense(node: Node, threshold: float) -> bool:
     return node.tag in BLOCK and node.density >= max(threshold, 1e-9)
 
 
+def drop_thin(order: list[Node], path: set[int], threshold: float) -> None:
+    """Elements with a weak name that the path doesn't cross go aside: blocks below the threshold, and links."""
+    for x in order:
+        if x.weak and id(x) not in path:
+            x.aside = not dense(x, threshold) if x.tag in BLOCK else x.link_chars > 0
+
+
 def measure(root: Node) -> list[Node]:
     """Fills in counts and densities of all nodes that aren't aside; returns them, parents first."""
     order, stack = [], [root]
@@ -294,6 +313,7 @@ def extract(source: str | None) -> str:
         best = best.parent
     best = next((x for x in _up(best) if x.tag == "article"), best)
     path = set(map(id, _up(best)))
+    drop_thin(order, path, threshold)
     chosen: list[Node] = []
     stack = [root]
     while stack:
