@@ -64,7 +64,7 @@ class Encoder:
         distinct, codes, first = spaced_chunks(data, offs)
         if len(self.cache) + len(distinct) > CACHE:
             self.cache, self.pieces = {}, {}
-        if len(self.pieces) > CACHE // 2:
+        if len(self.pieces) > CACHE // 12:
             self.pieces = {}
         cache, hard, long = self.cache, [], []
         for c in distinct:

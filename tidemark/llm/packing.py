@@ -18,6 +18,10 @@ from tidemark.llm.arrow_text import slices
 from tidemark.llm.encoding import crc, encoder
 
 
+#: Bytes of text that are encoded at once: the arrays over their bytes and ids take many times that.
+SLICE = 2 << 20
+
+
 class SumOfSquares:
     """Packs (doc, start, length) pieces; ``closed`` collects full windows as lists of pieces."""
 
@@ -126,7 +130,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
             return out
 
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, SLICE):
                 part = piece.column(2)[0].as_py()
                 ids, offs = encode(piece.column(1))
                 own = np.diff(offs)
