@@ -26,24 +26,21 @@ def leaves(df: DataFrame, payload: str, deepest: int = 12) -> DataFrame:
     ``deepest`` levels, whose JSON is then the value: a gap is a row, never an absence. A null payload, an empty object and an empty
     list have no leaves. Every row is walked by itself, so a payload's own size is all that bounds a task."""
     keep = [c for c in df.columns if c != payload]
-    level = df.select(*keep, F.col(payload).alias("_text"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(payload).alias("_v")).where(F.col("_text").isNotNull())
-    columns = [*keep, "path", "key", "value", "kind"]
-    parts = [level.where("_v IS NULL").select(*keep, "path", "key", F.col("_text").alias("value"), F.lit("MALFORMED").alias("kind"))]
-    level = level.where("_v IS NOT NULL").drop("_text")
-    for depth in range(deepest + 1):
-        kind = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
-        level = level.withColumn("_kind", kind)
-        nested = F.col("_kind").isin("OBJECT", "ARRAY")
-        # VOID is JSON's null: a leaf without a value.
-        parts.append(level.where(~nested).select(*keep, "path", "key", F.col("_v").cast("string").alias("value"), F.col("_kind").alias("kind")))
-        if depth == deepest:
-            parts.append(level.where(nested).select(*keep, "path", "key", F.to_json("_v").alias("value"), F.lit("TOO_DEEP").alias("kind")))
-            break
-        inner = df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-        below = level.where(nested).select(*[F.col(c) for c in keep], F.col("path").alias("_path"), "_v").lateralJoin(inner.select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
+    level = df.where(F.col(payload).isNotNull()).select(*keep, F.col(payload).alias("_text"), F.try_parse_json(payload).alias("_v"))
+    level = level.select(*keep, F.when(F.col("_v").isNull(), F.col("_text")).alias("_text"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), "_v", F.lit(0).alias("_depth"))
+    # A row that has nothing below it (a scalar, an empty list, no JSON) stays as it is, so one pass reaches all levels.
+    for _ in range(deepest):
+        inner = df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
         step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "_key"))
-        level = below.select(*keep, F.concat("_path", step).alias("path"), F.col("_key").alias("key"), F.col("_value").alias("_v"))
-    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+        under, own = F.col("_pos").isNotNull(), lambda below, here: F.when(F.col("_pos").isNotNull(), below).otherwise(here)
+        level = level.lateralJoin(inner).select(*keep, "_text", own(F.concat("path", step), F.col("path")).alias("path"), own(F.col("_key"), F.col("key")).alias("key"), own(F.col("_value"), F.col("_v")).alias("_v"), (F.col("_depth") + under.cast("int")).alias("_depth"))
+    # VOID is JSON's null: a leaf without a value.
+    level = level.withColumn("_kind", F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0))
+    nested = F.coalesce(F.col("_kind").isin("OBJECT", "ARRAY"), F.lit(False))
+    bad = F.col("_text").isNotNull()
+    value = F.when(bad, F.col("_text")).when(nested, F.to_json("_v")).otherwise(F.col("_v").cast("string"))
+    kind = F.when(bad, F.lit("MALFORMED")).when(nested, F.lit("TOO_DEEP")).otherwise(F.col("_kind"))
+    return level.where(~nested | (F.col("_depth") == deepest)).select(*keep, "path", "key", value.alias("value"), kind.alias("kind"))
 
 
 def links(df: DataFrame, payload: str, deepest: int = 12) -> DataFrame:
