@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,6 +69,22 @@ def test_crossover_and_hint(spark):
     assert list(spark.range(1).select(hint("cat dog token".split(), "cat dog".split()), hint("cat token".split(), "cat token".split())).first()) == [True, False]
 
 
+def test_crossover_holds_spans_not_pairs(spark):
+    """Repeated envelopes, overlapping and apart, and repeated posts: distinct pairs without a shuffle of the pairs."""
+    rng = random.Random(2)
+    e = [(f"e{rng.randrange(6)}", f"o{rng.randrange(2)}", rng.randrange(900_000)) for _ in range(60)]
+    p = [(rng.choice([f"p{rng.randrange(40)}", f"e{rng.randrange(6)}"]), [f"o{rng.randrange(2)}"] * 2, rng.randrange(900_000)) for _ in range(300)]
+    p += [(f"edge{k}", [o], at + d) for k, (_, o, at) in enumerate(e[:5]) for d in (0, 172_800, 172_801, -1)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        timed = lambda rows, c: spark.createDataFrame(rows, f"post_hash string, {c}, at long").withColumn("published_at", F.timestamp_seconds("at").cast(kind)).drop("at")  # noqa: B023, E731
+        out = K.object_crossover(timed(e, "object_url string"), timed(p, "linked_object_urls array<string>"))
+        got = [(r.post_hash, r.by_post, r.object_url, int(r.published_at.replace(tzinfo=datetime.timezone.utc).timestamp())) for r in out.withColumn("published_at", F.col("published_at").cast("timestamp_ntz")).collect()]
+        want = {(h, b, o, t) for h, o, at in e for b, (link, _), t in ((b, (x * 2)[:2], t) for b, x, t in p) if link == o and b != h and at <= t <= at + 172_800}
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     path = str(tmp_path / "t")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 PARSED_TX = "struct<transaction:struct<message:struct<accountKeys:array<string>>>,meta:struct<preBalances:array<bigint>,postBalances:array<bigint>>>"
 PARSED_KEY = "struct<pubkey:string,signer:boolean>"
@@ -83,11 +84,29 @@ def object_crossover(envelopes: DataFrame, posts: DataFrame, horizon: str = "48
     """(post_hash, by_post, object_url, published_at) of later posts that link the very object of an envelope.
 
     ``envelopes``: (post_hash, object_url, published_at); ``posts``: (post_hash, linked_object_urls, published_at). An envelope's own post
-    and posts from before it or beyond the horizon are none. One equi-join on the object; repeated links count once."""
-    e = envelopes.select("post_hash", "object_url", F.col("published_at").alias("_from")).where(F.col("object_url").isNotNull())
-    p = posts.select(F.col("post_hash").alias("by_post"), F.explode(F.array_distinct("linked_object_urls")).alias("object_url"), "published_at")
-    j = e.join(p, "object_url").where((F.col("by_post") != F.col("post_hash")) & F.col("published_at").between(F.col("_from"), F.col("_from") + F.expr(f"INTERVAL {horizon}")))
-    return j.select("post_hash", "by_post", "object_url", "published_at").distinct()
+    and posts from before it or beyond the horizon are none; repeated links count once. One equi-join on the object and an eighth of the
+    horizon: each side is made distinct before, an envelope's overlapping spans into one, so no pair arises twice and the pairs, whose number
+    is the result's own, aren't shuffled or held."""
+    on = ["post_hash", "object_url"]
+    e = envelopes.select(*on, F.col("published_at").alias("_from"), (F.col("published_at") + F.expr(f"INTERVAL {horizon}")).alias("_upto")).where("post_hash IS NOT NULL AND object_url IS NOT NULL AND _from IS NOT NULL")
+    order = Window.partitionBy(*on).orderBy("_from")
+    apart = F.coalesce(F.col("_from") > F.max("_upto").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    e = e.withColumn("_apart", apart.cast("int")).withColumn("_span", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.groupBy(*on, "_span").agg(F.min("_from").alias("_from"), F.max("_upto").alias("_upto"))
+    p = posts.select(F.col("post_hash").alias("by_post"), F.explode(F.array_distinct("linked_object_urls")).alias("object_url"), "published_at").where("by_post IS NOT NULL AND object_url IS NOT NULL AND published_at IS NOT NULL").distinct()
+    width = F.greatest(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {horizon}")) / 8, F.lit(1))
+    number = lambda c, kind: F.floor(_clock(F.col(c), kind) / width)
+    e = e.withColumn("_bin", F.explode(F.sequence(number("_from", e.schema["_from"].dataType), number("_upto", e.schema["_upto"].dataType))))
+    p = p.withColumn("_bin", number("published_at", p.schema["published_at"].dataType))
+    j = p.join(e, ["object_url", "_bin"]).where((F.col("by_post") != F.col("post_hash")) & F.col("published_at").between(F.col("_from"), F.col("_upto")))
+    return j.select("post_hash", "by_post", "object_url", "published_at")
+
+
+def _clock(time: Column, kind: DataType) -> Column:
+    """Seconds that never run back as a time grows; a time without zone is not read in the session's."""
+    if isinstance(kind, TimestampNTZType):
+        return F.unix_date(time.cast("date")).cast("long") * 86_400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    return F.unix_seconds(time.cast("timestamp"))
 
 
 def semantic_hint(a: Column, b: Column, common: list[str], least: int = 2) -> Column:
