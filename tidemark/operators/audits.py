@@ -20,23 +20,51 @@ TRANSACTION = (
 PARSED = "struct<type:string,info:struct<account:string,mint:string,source:string,destination:string,authority:string,tokenAmount:string>>"
 
 
-def _parsed(df: DataFrame, tx: str) -> DataFrame:
-    df = df.withColumn("_t", F.from_json(tx, TRANSACTION))
-    keys = F.transform("_t.transaction.message.accountKeys", lambda k: F.coalesce(F.get_json_object(k, "$.pubkey"), k))
-    inner = F.flatten(F.transform("_t.meta.innerInstructions", lambda g: F.coalesce(g["instructions"], F.array().cast("array<struct<program:string,parsed:string>>"))))
-    moves = F.transform(F.filter(inner, lambda i: i["program"] == "spl-token"), lambda i: F.from_json(i["parsed"], PARSED))
-    moves = F.transform(F.filter(moves, lambda p: p["type"] == "transferChecked"), lambda p: p["info"])
+_INNER = f"innerInstructions:array<struct<instructions:array<struct<program:string,parsed:{PARSED}>>>>"
+#: What an audit needs, in the usual form, where keys and parsed instructions are objects: one pass over the text reads it.
+RECEIPT = (
+    f"struct<transaction:struct<message:struct<accountKeys:array<struct<pubkey:string>>,instructions:array<struct<programId:string,parsed:{PARSED}>>>>,"
+    f"meta:struct<err:string,fee:bigint,logMessages:array<string>,preBalances:array<bigint>,postBalances:array<bigint>,{_INNER}>,_odd:string>"
+)
+FLOW = (
+    "struct<transaction:struct<message:struct<accountKeys:array<struct<pubkey:string>>>>,"
+    f"meta:struct<err:string,logMessages:array<string>,preTokenBalances:array<struct<mint:string>>,postTokenBalances:array<struct<mint:string>>,{_INNER}>,_odd:string>"
+)
+
+
+def _either(usual, text) -> Column:
+    """``usual(_t)``; where the text has another form (``_odd``), ``text(_o)`` of the one whose keys and instructions are read as text."""
+    return F.when(F.col("_t._odd").isNull(), usual(F.col("_t"))).otherwise(text(F.col("_o")))
+
+
+def _moves(kept) -> Column:
+    """Amounts of the checked token transfers that ``kept`` picks by mint, source, destination and authority."""
+    inner = lambda t: F.flatten(F.filter(t["meta"]["innerInstructions"]["instructions"], lambda x: x.isNotNull()))
+    checked = lambda p: (p["type"] == "transferChecked") & kept(p["info"])
+    usual = lambda t: F.transform(F.filter(inner(t), lambda i: (i["program"] == "spl-token") & checked(i["parsed"])), lambda i: i["parsed"]["info"]["tokenAmount"])
+    text = lambda t: F.transform(F.filter(F.transform(F.filter(inner(t), lambda i: i["program"] == "spl-token"), lambda i: F.from_json(i["parsed"], PARSED)), checked), lambda p: p["info"]["tokenAmount"])
     # Amounts count only as decimal strings.
-    moves = F.transform(moves, lambda x: F.struct(x["mint"].alias("mint"), x["source"].alias("source"), x["destination"].alias("destination"), x["authority"].alias("authority"), F.regexp_extract(x["tokenAmount"], r'"amount"\s*:\s*"(\d+)"', 1).try_cast("bigint").alias("amount")))
-    return df.withColumn("_keys", F.coalesce(keys, F.array().cast("array<string>"))).withColumn("_moves", F.coalesce(F.filter(moves, lambda x: x["amount"].isNotNull()), F.array().cast("array<struct<mint:string,source:string,destination:string,authority:string,amount:bigint>>")))
+    amounts = F.transform(_either(usual, text), lambda x: F.regexp_extract(x, r'"amount"\s*:\s*"(\d+)"', 1).try_cast("bigint"))
+    return F.coalesce(F.array_compact(amounts), F.array().cast("array<bigint>"))
+
+
+def _parsed(df: DataFrame, tx: str, usual: str) -> DataFrame:
+    df = df.withColumn("_t", F.from_json(tx, usual, {"columnNameOfCorruptRecord": "_odd"}))
+    df = df.withColumn("_o", F.when(F.col("_t._odd").isNotNull(), F.from_json(tx, TRANSACTION)))
+    text = lambda t: F.transform(t["transaction"]["message"]["accountKeys"], lambda k: F.coalesce(F.get_json_object(k, "$.pubkey"), k))
+    return df.withColumn("_keys", F.coalesce(_either(lambda t: t["transaction"]["message"]["accountKeys"]["pubkey"], text), F.array().cast("array<string>")))
+
+
+def _meta(name: str) -> Column:
+    return _either(*[lambda t: t["meta"][name]] * 2)
 
 
 def _failed() -> Column:
-    return (F.col("_t.transaction").isNull() & F.col("_t.meta").isNull()) | F.col("_t.meta.err").isNotNull() | F.col("_t").isNull()
+    return _either(*[lambda t: (t["transaction"].isNull() & t["meta"].isNull()) | t["meta"]["err"].isNotNull() | t.isNull()] * 2)
 
 
 def _logged(line: str) -> Column:
-    return F.coalesce(F.exists("_t.meta.logMessages", lambda x: x.contains(line)), F.lit(False))
+    return F.coalesce(F.exists(_meta("logMessages"), lambda x: x.contains(line)), F.lit(False))
 
 
 def creator_receipt(df: DataFrame, tx: str = "tx", creator: str = "creator") -> DataFrame:
@@ -44,13 +72,14 @@ def creator_receipt(df: DataFrame, tx: str = "tx", creator: str = "creator") ->
 
     Verified: exactly one transfer into a wrapped account that is closed to the creator, and amount - delta == fee to
     the unit. Anything unknown or malformed stays UNVERIFIED with the first reason that holds."""
-    df = _parsed(df, tx).withColumn("_at", F.coalesce(F.array_position("_keys", F.col(creator)), F.lit(0)).cast("int"))
-    closing = F.transform("_t.transaction.message.instructions", lambda i: F.from_json(i["parsed"], PARSED))
+    df = _parsed(df, tx, RECEIPT).withColumn("_at", F.coalesce(F.array_position("_keys", F.col(creator)), F.lit(0)).cast("int"))
+    outer = lambda t: t["transaction"]["message"]["instructions"]
+    closing = _either(lambda t: outer(t)["parsed"], lambda t: F.transform(outer(t), lambda i: F.from_json(i["parsed"], PARSED)))
     df = df.withColumn("_closed", F.coalesce(F.transform(F.filter(closing, lambda p: (p["type"] == "closeAccount") & (p["info"]["destination"] == F.col(creator))), lambda p: p["info"]["account"]), F.array().cast("array<string>")))
-    df = df.withColumn("_own", F.filter("_moves", lambda x: (x["mint"] == WRAPPED_SOL) & F.array_contains("_closed", x["destination"])))
-    before, after = (F.get(F.col(f"_t.meta.{c}"), F.col("_at") - 1) for c in ("preBalances", "postBalances"))
-    df = df.withColumn("amount", F.when(F.size("_own") == 1, F.get("_own", F.lit(0))["amount"])).withColumn("wallet_delta", after - before).withColumn("fee", F.col("_t.meta.fee"))
-    program = F.coalesce(F.exists("_t.transaction.message.instructions", lambda i: i["programId"] == AMM_PROGRAM), F.lit(False))
+    df = df.withColumn("_own", _moves(lambda x: (x["mint"] == WRAPPED_SOL) & F.array_contains("_closed", x["destination"])))
+    before, after = (F.get(_meta(c), F.col("_at") - 1) for c in ("preBalances", "postBalances"))
+    df = df.withColumn("amount", F.when(F.size("_own") == 1, F.get("_own", F.lit(0)))).withColumn("wallet_delta", after - before).withColumn("fee", _meta("fee"))
+    program = F.coalesce(F.array_contains(_either(*[lambda t: outer(t)["programId"]] * 2), AMM_PROGRAM), F.lit(False))
     reason = (
         F.when(_failed(), "transaction unavailable or failed").when(F.col("_at") == 0, "creator not in account keys").when(~program, "Pump AMM program absent")
         .when(~_logged(COLLECT_LOG), "creator fee collection log absent").when(F.size("_own") != 1, "expected exactly one vault-to-closed-WSOL transfer")
@@ -58,23 +87,26 @@ def creator_receipt(df: DataFrame, tx: str = "tx", creator: str = "creator") ->
         .when((F.col("wallet_delta") <= 0) | F.col("fee").isNull() | (F.col("amount") - F.col("wallet_delta") != F.col("fee")), "claim amount, wallet credit and fee do not reconcile")
     )
     df = df.withColumn("reason", reason).withColumn("classification", F.when(F.col("reason").isNull(), "VERIFIED_CREATOR_LEVEL_AMM_FEE_RECEIPT").otherwise("UNVERIFIED"))
-    return df.drop("_t", "_keys", "_moves", "_at", "_closed", "_own")
+    return df.drop("_t", "_o", "_keys", "_at", "_closed", "_own")
 
 
 def pool_fee_flow(df: DataFrame, tx: str = "tx", pool: str = "pool", mint: str = "mint", vault: str = "vault", owner: str = "owner") -> DataFrame:
     """Adds reason (null if verified), classification and fee_amount: exactly one positive transfer from pool to vault."""
-    df = _parsed(df, tx)
-    mints = F.transform(F.concat(*[F.coalesce(F.col(f"_t.meta.{c}"), F.array().cast("array<struct<mint:string>>")) for c in ("preTokenBalances", "postTokenBalances")]), lambda b: b["mint"])
-    df = df.withColumn("_own", F.filter("_moves", lambda x: (x["mint"] == WRAPPED_SOL) & (x["authority"] == F.col(pool)) & (x["destination"] == F.col(vault))))
+    df = _parsed(df, tx, FLOW)
+    mints = F.concat(*[F.coalesce(_either(*[lambda t, c=c: t["meta"][c]["mint"]] * 2), F.array().cast("array<string>")) for c in ("preTokenBalances", "postTokenBalances")])
     has = lambda a, c: F.coalesce(F.array_contains(a, F.col(c)), F.lit(False))
-    amount = F.when(F.size("_own") == 1, F.get("_own", F.lit(0))["amount"])
-    reason = (
+    absent = (
         F.when(~F.col(owner).eqNullSafe(F.lit(AMM_PROGRAM)), "pool is not owned by Pump AMM").when(_failed(), "transaction unavailable or failed")
         .when(~(has("_keys", pool) & has(mints, mint) & has("_keys", vault)), "pool, mint or vault absent in transaction")
-        .when(~_logged(FEES_LOG), "Pump AMM fee calculation log absent").when(F.coalesce(amount, F.lit(0)) <= 0, "one direct pool-to-vault WSOL transfer not found")
+        .when(~_logged(FEES_LOG), "Pump AMM fee calculation log absent")
     )
-    df = df.withColumn("reason", reason).withColumn("classification", F.when(F.col("reason").isNull(), "VERIFIED_MINT_POOL_CREATOR_VAULT_FLOW").otherwise("UNVERIFIED"))
-    return df.withColumn("fee_amount", F.when(F.col("reason").isNull(), amount)).drop("_t", "_keys", "_moves", "_own")
+    df = df.withColumn("_absent", absent)
+    own = _moves(lambda x: (x["mint"] == WRAPPED_SOL) & (x["authority"] == F.col(pool)) & (x["destination"] == F.col(vault)))
+    df = df.withColumn("_own", F.when(F.col("_absent").isNull(), own))
+    amount = F.when(F.size("_own") == 1, F.get("_own", F.lit(0)))
+    df = df.withColumn("reason", F.coalesce("_absent", F.when(F.coalesce(amount, F.lit(0)) <= 0, "one direct pool-to-vault WSOL transfer not found")))
+    df = df.withColumn("classification", F.when(F.col("reason").isNull(), "VERIFIED_MINT_POOL_CREATOR_VAULT_FLOW").otherwise("UNVERIFIED"))
+    return df.withColumn("fee_amount", F.when(F.col("reason").isNull(), amount)).drop("_t", "_o", "_keys", "_absent", "_own")
 
 
 def negative_eligibility(df: DataFrame, schema_tag: str, surface: str = "bluesky:jetstream_crypto", optional: str = "reddit:", max_lag: int = 300) -> DataFrame:

@@ -9,18 +9,21 @@ from tidemark.operators import audits as A
 from tidemark.plans.registry import query, t
 from tidemark.sources import seeds as D
 
-_MOVE = f"""named_struct('program', 'spl-token', 'parsed', named_struct('type', 'transferChecked', 'info', named_struct('mint', '{A.WRAPPED_SOL}', 'source', 'v', 'authority', pool, 'destination', concat('tmp', l_orderkey), 'tokenAmount', named_struct('amount', cast(cents AS string)))))"""
-_TX = f"""to_json(named_struct('transaction', named_struct('message', named_struct('accountKeys', array(named_struct('pubkey', 'payer'), named_struct('pubkey', concat('s', l_suppkey)), named_struct('pubkey', pool), named_struct('pubkey', concat('tmp', l_orderkey))),
-'instructions', array(named_struct('programId', if(l_linenumber = 5, 'other', '{A.AMM_PROGRAM}'), 'parsed', named_struct('type', 'closeAccount', 'info', named_struct('account', concat('tmp', l_orderkey), 'destination', concat('s', l_suppkey))))))),
-'meta', named_struct('err', if(l_linenumber = 7 AND l_linestatus = 'O', 'failed', null), 'fee', fee, 'logMessages', array(if(l_linenumber = 6, 'Program log: other', 'Program log: {A.COLLECT_LOG}'), if(l_linenumber = 6, '', 'Program log: {A.FEES_LOG}')),
-'preBalances', array(0L, 1000000000L, 0L), 'postBalances', if(l_tax = 0.08, array(0L), array(0L, 1000000000L + cents - fee + if(l_returnflag = 'R', 1, 0), 0L)), 'postTokenBalances', array(named_struct('mint', concat('m', l_partkey))),
-'innerInstructions', array(named_struct('instructions', if(l_quantity > 45, array({_MOVE}, {_MOVE}), array({_MOVE})))))))"""
+# JSON text by its parts; concat_ws leaves out a field that is null, as to_json does.
+_FIELD = "concat('\"{}\":\"{}', {}, '\"')"
+_KEY, _POOL, _TMP = (lambda name: _FIELD.format(name, "s", "l_suppkey")), (lambda name: _FIELD.format(name, "", "pool")), (lambda name: _FIELD.format(name, "tmp", "l_orderkey"))
+_MOVE = f"""concat('{{"program":"spl-token","parsed":{{"type":"transferChecked","info":{{', concat_ws(',', '"mint":"{A.WRAPPED_SOL}","source":"v"', {_POOL("authority")}, {_TMP("destination")}, concat('"tokenAmount":{{', coalesce(concat('"amount":"', cents, '"'), ''), '}}')), '}}}}}}')"""
+_META = f"""concat_ws(',', if(l_linenumber = 7 AND l_linestatus = 'O', '"err":"failed"', null), concat('"fee":', fee), if(l_linenumber = 6, '"logMessages":["Program log: other",""]', '"logMessages":["Program log: {A.COLLECT_LOG}","Program log: {A.FEES_LOG}"]'),
+'"preBalances":[0,1000000000,0]', if(l_tax = 0.08, '"postBalances":[0]', concat('"postBalances":[0,', coalesce(cast(1000000000L + cents - fee + if(l_returnflag = 'R', 1, 0) AS string), 'null'), ',0]')), concat('"postTokenBalances":[{{', coalesce({_FIELD.format("mint", "m", "l_partkey")}, ''), '}}]'),
+concat('"innerInstructions":[{{"instructions":[', concat_ws(',', move, if(l_quantity > 45, move, null)), ']}}]'))"""
+_TX = f"""concat('{{"transaction":{{"message":{{"accountKeys":[{{"pubkey":"payer"}},{{', coalesce({_KEY("pubkey")}, ''), '}},{{', coalesce({_POOL("pubkey")}, ''), '}},{{', coalesce({_TMP("pubkey")}, ''), '}}],"instructions":[{{"programId":"',
+if(l_linenumber = 5, 'other', '{A.AMM_PROGRAM}'), '","parsed":{{"type":"closeAccount","info":{{', concat_ws(',', {_TMP("account")}, {_KEY("destination")}), '}}}}}}]}}}},"meta":{{', {_META}, '}}}}')"""
 _ITEMS = "i AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, 5000 + l_linenumber AS fee FROM lineitem)"
 
 
 def _transactions(spark, d):
     x = t(spark, d, "lineitem").withColumns({"cents": F.round(F.col("l_extendedprice") * 100).cast("long"), "fee": F.expr("5000L + l_linenumber"), "pool": F.expr("concat('p', l_partkey)")})
-    return x.withColumn("tx", F.expr(_TX))
+    return x.withColumn("move", F.expr(_MOVE)).withColumn("tx", F.expr(_TX)).drop("move")
 
 
 @query(f"""WITH {_ITEMS} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 AND l_linestatus = 'O' THEN 'transaction unavailable or failed' WHEN l_suppkey % 50 = 0 THEN 'creator not in account keys' WHEN l_linenumber = 5 THEN 'Pump AMM program absent'
