@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -15,11 +16,13 @@ import pyarrow as pa
 
 from tidemark.llm.arrow_text import buffers, ragged, spaced_chunks
 
-#: Chunks that a worker keeps, of so many bytes at most each; beyond it the cache starts anew, so memory is bounded and no
-#: chunk goes without its ids.
+#: Chunks that a worker keeps, of so many bytes at most each, in two halves: when one is full, the other, with what was not met
+#: since, goes. So memory is bounded, frequent chunks stay and no chunk goes without its ids.
 CACHE, CACHE_BYTES = 600_000, 48
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(rf"( ?)([{LETTERS}]+)([.,]?)")
+#: All of ASCII's but the apostrophe, which may begin an ending of its own.
+MARKS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+PLAIN = re.compile(rf"([ \n]?)([{LETTERS}]+)([{MARKS}]*)")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -39,44 +42,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.table = {k: v for k, v in _byte_alphabet().items()}
         kept = [x.ids for x in self.tokenizer.encode_batch([" a", "a", "A"], add_special_tokens=False)]
         self.spaced, self.lowers = kept[0] != kept[1], kept[1] == kept[2]
 
-    def _piece(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         """Ids of one pre-token by the model alone."""
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, piece: str) -> bytes:
+        return self._ids(piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.table))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of marks or of a line's end, which are few."""
         if (got := self.pieces.get(piece)) is None:
-            word = piece.encode().decode("latin-1").translate(self.table)
-            got = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+            got = self.pieces[piece] = self._ids(piece.translate(self.table))
         return got
 
     def _chunk(self, text: str) -> bytes | None:
-        """Ids of a chunk that is plainly a word and a mark, where pre-tokenizing is known; else None."""
+        """Ids of a chunk that is plainly a word and marks, where pre-tokenizing is known; else None."""
         if m := PLAIN.fullmatch(text):
-            word = m[2].lower() if self.lowers else m[2]
-            return self._piece(m[1] + word if self.spaced else word) + (self._piece(m[3]) if m[3] else b"")
+            space, word, marks = m.groups()
+            if self.lowers:
+                word = word.lower()
+            own = " " + word if space == " " or not self.spaced else word
+            ids = None
+            if own != text:  # the same word may be known without its marks
+                ids = self.cache.get(known := own.encode()) or self.older.get(known)
+            if ids is None:
+                ids = self._word(own if self.spaced else word)
+            if space == "\n" and self.spaced:
+                ids = self._piece(space) + ids
+            return ids + self._piece(marks) if marks else ids
         return None
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         data, offs = buffers(column)
         distinct, codes, first = spaced_chunks(data, offs)
-        if len(self.cache) + len(distinct) > CACHE:
-            self.cache, self.pieces = {}, {}
+        if len(self.cache) + len(distinct) > CACHE // 2:
+            self.cache, self.older = {}, self.cache
         if len(self.pieces) > CACHE // 12:
             self.pieces = {}
-        cache, hard, long = self.cache, [], []
-        for c in distinct:
-            if c not in cache:
+        cache, older, hard, long = self.cache, self.older, [], []
+        for c in [c for c in distinct if c not in cache]:
+            if (ids := older.get(c)) is None:
                 text = c.decode()
                 if len(c) > CACHE_BYTES:
                     long.append(c)
                     hard.append(text)
-                elif (ids := self._chunk(text)) is None:
+                    continue
+                if (ids := self._chunk(text)) is None:
                     hard.append(text)
-                else:
-                    cache[c] = ids
+                    continue
+            cache[c] = ids
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
             for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
